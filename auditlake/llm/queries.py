@@ -17,6 +17,12 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import scratch
     from .warc import capture_histories
@@ -46,6 +52,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rff import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import store_texts
 
@@ -59,7 +71,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op2_warc_merge, op3_packing, op7_matroska, op8_byte_bpe]
+    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op6_fourier_quality, op7_matroska, op8_byte_bpe]
     return {f.__name__: f for f in made}
 
 
