@@ -52,6 +52,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rff import quality_scores
 
@@ -71,7 +77,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op6_fourier_quality, op7_matroska, op8_byte_bpe]
+    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op6_fourier_quality, op7_matroska, op8_byte_bpe]
     return {f.__name__: f for f in made}
 
 
