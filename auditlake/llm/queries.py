@@ -76,8 +76,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_span_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op6_fourier_quality, op7_matroska, op8_byte_bpe]
+    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op6_fourier_quality, op7_matroska, op8_byte_bpe, op10_span_tagger]
     return {f.__name__: f for f in made}
 
 
