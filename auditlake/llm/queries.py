@@ -58,6 +58,12 @@ def op4_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import removed_passages
+
+    return removed_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rff import quality_scores
 
@@ -83,7 +89,7 @@ def op10_span_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op6_fourier_quality, op7_matroska, op8_byte_bpe, op10_span_tagger]
+    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op5_suffix_passages, op6_fourier_quality, op7_matroska, op8_byte_bpe, op10_span_tagger]
     return {f.__name__: f for f in made}
 
 
