@@ -82,6 +82,12 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_prefix_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op10_span_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
@@ -89,7 +95,7 @@ def op10_span_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op5_suffix_passages, op6_fourier_quality, op7_matroska, op8_byte_bpe, op10_span_tagger]
+    made = [op1_boosted_rules, op2_warc_merge, op3_packing, op4_clause_grammar, op5_suffix_passages, op6_fourier_quality, op7_matroska, op8_byte_bpe, op9_prefix_jaccard, op10_span_tagger]
     return {f.__name__: f for f in made}
 
 
