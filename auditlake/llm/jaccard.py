@@ -10,31 +10,33 @@ Documents with one shingle set are one class, named by its smallest doc_id.  A
 group of classes that share a token is not expanded into pairs: each class is
 first compared with the group's smallest one.  Pairs that are then still in
 different components are the only ones left; groups with more than ``SMALL`` of
-them are split by their members' prefix tokens of the next order.
+them are split by their members' prefix tokens of the next order.  Groups are
+also split by set size, since sets of very different sizes can't be similar.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stored, texts
+from .common import arrow_map, slices, stored, texts
 from .graph import components
 
-#: Groups up to this size are compared pair by pair.
-SMALL = 24
+#: Groups up to this size are joined with themselves; sizes and positions are tested inside the join.
+SMALL = 512
 #: Members of a larger group that all its others are compared with in one round.
 LEADERS = 64
 #: Rows of one class compared with one leader in one task.
 SALT_ROWS = 512
 #: Tokens that the orders know to be common; others count as equally rare.
-COMMON_TOKENS = 1 << 17
-#: A token counts as locally common in a slice from this many documents on.
-LOCALLY_COMMON = 8
+COMMON_TOKENS = 1 << 20
+#: A task counts tokens over stretches of about this many and reports those that occur twice or more.
+COUNTED_TOKENS = 1 << 22
 
 _MULTIPLY = np.uint64(0xBF58476D1CE4E5B9)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -124,22 +126,31 @@ class JaccardJoin:
         self.docs = texts(docs)
         shingler = Shingler(words)
 
-        def measure(batch: pa.RecordBatch) -> dict:
-            sets = [shingler.tokens(t) for t in batch.column("text").to_pylist()]
-            every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-            count = np.diff(np.append(first, len(every)))
-            often = count >= LOCALLY_COMMON
-            common, times = every[first][often], count[often]
-            k = len(common)
-            return {
-                "common": [False] * len(sets) + [True] * k,
-                "doc_id": batch.column("doc_id").to_pylist() + common.astype(np.int64).tolist(),
-                "n": [len(s) for s in sets] + times.tolist(),
-                "key": [_key(s) if len(s) else None for s in sets] + [None] * k,
-            }
-
-        measured = stored(arrow_map(self.docs, measure, "common boolean, doc_id long, n long, key binary"), "jaccard-sets")
+        def measure(batches):
+            gathered: list[np.ndarray] = []
+            held = 0
+
+            def rows(common, doc_id, n, key) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(common, pa.bool_()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["common", "doc_id", "n", "key"])
+
+            def often() -> pa.RecordBatch:
+                token, count = np.unique(np.concatenate(gathered), return_counts=True)
+                token, count = token[count > 1], count[count > 1]
+                return rows(np.ones(len(token), bool), token.view(np.int64), count, [None] * len(token))
+
+            for batch in batches:
+                for part in slices(batch):
+                    sets = [shingler.tokens(t) for t in part.column("text").to_pylist()]
+                    yield rows(np.zeros(len(sets), bool), part.column("doc_id"), [len(s) for s in sets], [_key(s) if len(s) else None for s in sets])
+                    gathered += sets
+                    held += sum(map(len, sets))
+                    if held >= COUNTED_TOKENS:
+                        yield often()
+                        gathered, held = [], 0
+            if gathered:
+                yield often()
+
+        measured = stored(self.docs.mapInArrow(measure, "common boolean, doc_id long, n long, key binary"), "jaccard-sets")
         #: One row per document: doc_id, n, key of its shingle set (null: empty).
         self.sets = measured.where("not common").drop("common")
         top = measured.where("common").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).toPandas()
@@ -148,7 +159,7 @@ class JaccardJoin:
         self.classes = stored(self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
 
     def _prefixes(self) -> DataFrame:
-        """token, id, n: first-order prefix tokens of every class."""
+        """token, id, n, pos: first-order prefix tokens of every class and their places."""
         shingler, orders, percent = Shingler(self.words), self.orders, self.percent
 
         def run(batch: pa.RecordBatch) -> dict:
@@ -163,7 +174,7 @@ class JaccardJoin:
 
         found = arrow_map(self.docs, run, "doc_id long, key binary, n long, tokens array<long>")
         named = found.join(self.classes.select("key", "id"), "key").where("doc_id = id")
-        return named.select(F.explode("tokens").alias("token"), "id", F.col("n").cast("int").alias("n"))
+        return named.select(F.posexplode("tokens").alias("pos", "token"), "id", F.col("n").cast("int").alias("n"))
 
     def _store(self, ids: DataFrame) -> DataFrame:
         """id, n, packed text and the prefixes of the second and third order of the given classes."""
@@ -221,10 +232,26 @@ class JaccardJoin:
         dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
         return stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
 
-    def _close(self, left: str, right: str):
-        """The sizes allow the similarity."""
+    def _by_size(self, rows: DataFrame) -> DataFrame:
+        """Groups split by set size: each row goes to its size class and the next, so that two sets of possible sizes meet.
+
+        A row stays only where its token can be the first that it shares with a
+        partner of the class: what follows it has to hold the whole overlap.
+        """
+        if self.percent == 100:
+            return rows.where("pos = 0").withColumn("g", F.xxhash64("g", "n"))
+        width = math.log(100 / self.percent) * 1.0001  # a little wide, for rounding
+        step = F.floor(F.log("n") / width)
+        split = rows.withColumn("size_class", F.explode(F.array(step, step + 1)))
+        least = F.greatest(F.exp((F.col("size_class") - 1) * width), F.col("n") * self.percent / 100)
+        split = split.where(F.col("n") - F.col("pos") >= (F.col("n") + least) * self.percent / (100 + self.percent) - 0.001)
+        return split.select(F.xxhash64("g", "size_class").alias("g"), "id", "n", "pos")
+
+    def _close(self, left: str, right: str, left_pos: str, right_pos: str):
+        """The sizes, and the places of the first shared token, allow the similarity."""
         small, large = F.least(left, right), F.greatest(left, right)
-        return 100 * small >= self.percent * large
+        room = F.least(F.col(left) - F.col(left_pos), F.col(right) - F.col(right_pos))
+        return (100 * small >= self.percent * large) & ((100 + self.percent) * room >= self.percent * (F.col(left) + F.col(right)))
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
@@ -234,44 +261,50 @@ class JaccardJoin:
         belong to one component.  One row per input row.
         """
         prefixes = stored(self._prefixes(), "jaccard-prefixes")
-        groups = prefixes.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("size"))
-        groups = stored(groups.where("lead.id <> last").select("token", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), "size"), "jaccard-groups")
-        rows = stored(prefixes.join(groups, "token"), "jaccard-shared")
+        groups = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
+        shared = stored(prefixes.join(stored(groups, "jaccard-groups"), "token"), "jaccard-shared")
+        rows = self._by_size(shared.withColumnRenamed("token", "g"))
+        leaders = rows.groupBy("g").agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("size"))
+        leaders = stored(leaders.where("lead.id <> last").select("g", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos"), "size"), "jaccard-leaders")
+        rows = stored(rows.join(leaders, "g"), "jaccard-rows")
         store = self._store(rows.select("id").distinct())
-        first = rows.where("id <> leader").where(self._close("n", "leader_n")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+        first = rows.where("id <> leader").where(self._close("n", "leader_n", "pos", "leader_pos")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         links = self._verified(first, store)
         labels = components(links)
-        rest = rows.where("size > 2 and id <> leader").select(F.col("token").alias("g"), "id", "n")
+        rest = rows.where("size > 2 and id <> leader").select("g", "id", "n", "pos")
         links = links.unionByName(self._remaining(rest, links, labels, store))
         labels = components(links)
         named = self.sets.join(self.classes.select("key", "id"), "key", "left").join(labels, "id", "left")
         own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
         return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
+    def _meeting(self, rows: DataFrame, leaders: DataFrame) -> DataFrame:
+        """Pairs (a, b), a > b, of one group and two components whose sizes and places fit."""
+        other = leaders.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("component").alias("b_component"))
+        met = (F.col("id") > F.col("b")) & (F.col("component") != F.col("b_component")) & self._close("n", "b_n", "pos", "b_pos")
+        mine = rows.select(F.col("g").alias("own"), "id", "n", "pos", "component")
+        return mine.join(other, (F.col("own") == F.col("g")) & met).select(F.col("id").alias("a"), "b").distinct()
+
     def _remaining(self, rest: DataFrame, known: DataFrame, labels: DataFrame, store: DataFrame) -> DataFrame:
         """Links between members of one group that their leaders have not joined yet."""
         spark = rest.sparkSession
         links = spark.createDataFrame([], "a long, b long")
         level = 0
         while True:
-            open_ = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("g", "id", "n", "component")
-            mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("leader"), F.count("*").alias("size")).where("lo <> hi").select("g", "leader", "size")
+            open_ = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("g", "id", "n", "pos", "component")
+            mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("g", "size")
             open_ = stored(open_.join(stored(mixed, "jaccard-mixed"), "g"), f"jaccard-open-{level}")
             if open_.isEmpty():
                 return links
-            few = open_.where(F.col("size") <= SMALL)
-            other = few.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-            pairs = few.join(other, "g").where("id > b and component <> b_component").where(self._close("n", "b_n")).select(F.col("id").alias("a"), "b").distinct()
+            pairs = self._meeting(few := open_.where(F.col("size") <= SMALL), few)
             many = open_.where(F.col("size") > SMALL)
             if level < 2:
                 token = store.select("id", F.explode("second" if level == 0 else "third").alias("t"))
-                rest = many.select("g", "id", "n").join(token, "id").select(F.xxhash64("g", "t").alias("g"), "id", "n")
+                rest = many.select("g", "id", "n", "pos").join(token, "id").select(F.xxhash64("g", "t").alias("g"), "id", "n", "pos")
             else:  # the first members of each group lead a round, until none is left
                 ranked = stored(many.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("id"))), "jaccard-ranked")
-                lead = ranked.where(F.col("rank") <= LEADERS).select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-                aimed = ranked.join(lead, "g").where("id > b and component <> b_component").where(self._close("n", "b_n"))
-                pairs = pairs.unionByName(aimed.select(F.col("id").alias("a"), "b")).distinct()
-                rest = ranked.where(F.col("rank") > LEADERS).select("g", "id", "n")
+                pairs = pairs.unionByName(self._meeting(ranked, ranked.where(F.col("rank") <= LEADERS))).distinct()
+                rest = ranked.where(F.col("rank") > LEADERS).select("g", "id", "n", "pos")
             found = self._verified(pairs, store)
             links = links.unionByName(found)
             if level >= 2:
