@@ -99,6 +99,30 @@ class Orders:
         return tokens[np.lexsort((_mix(tokens ^ _SALTS[order]), count))[:size]]
 
 
+def _common_tokens(seen: DataFrame) -> Orders:
+    """Orders that know the most frequent tokens: at most ``COMMON_TOKENS``, twelve bytes each, reach the driver.
+
+    A histogram of counts gives the smallest count whose tokens are few enough;
+    they come packed, a few large rows in all.
+    """
+    counts = stored(seen.groupBy("token").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")), "jaccard-counts")
+    steps = counts.groupBy(F.least("n", F.lit(1 << 12)).alias("n")).agg(F.count("*").alias("tokens")).collect()
+    least, total = (1 << 12) + 1, 0
+    for step in sorted(steps, key=lambda r: -r.n):
+        total += step.tokens
+        if total > COMMON_TOKENS:
+            break
+        least = step.n
+
+    def pack(batches):
+        for batch in batches:
+            row = [[batch.column("token").to_numpy().tobytes()], [batch.column("n").to_numpy().tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in row], ["token", "n"])
+
+    packed = counts.where(F.col("n") >= least).mapInArrow(pack, "token binary, n binary").collect()
+    return Orders(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(bytes(r.token), np.uint64) for r in packed)]), np.concatenate([np.empty(0, np.int32), *(np.frombuffer(bytes(r.n), np.int32) for r in packed)]))
+
+
 def _key(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
@@ -153,8 +177,7 @@ class JaccardJoin:
         measured = stored(self.docs.mapInArrow(measure, "common boolean, doc_id long, n long, key binary"), "jaccard-sets")
         #: One row per document: doc_id, n, key of its shingle set (null: empty).
         self.sets = measured.where("not common").drop("common")
-        top = measured.where("common").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(COMMON_TOKENS).toPandas()
-        self.orders = Orders(top["token"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64))
+        self.orders = _common_tokens(measured.where("common").select(F.col("doc_id").alias("token"), "n"))
         #: key -> smallest doc_id with that set; documents without id name no class.
         self.classes = stored(self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
 
