@@ -46,6 +46,8 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
         name = (found[2] or "").lower()
         if not name:
             continue
+        if not found[0].endswith(">"):  # cut off by the end of the document
+            return
         if found[1]:
             yield "close", name, ""
             continue
