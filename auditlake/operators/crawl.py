@@ -57,31 +57,33 @@ def _resolved(target: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalize_url(t, b) if isinstance(t, str) and isinstance(b, str) else None for t, b in zip(target, base, strict=True)], dtype=object)
 
 
-def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "GET") -> DataFrame:
+def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "GET", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The final response of every requested url (column ``url``; others are kept).
 
-    Each round joins the open requests with the responses; a redirect without
-    target ends the chain, a loop or an eleventh redirect is an error, and so is
-    an address without response.  At most eleven rounds, all in one plan.
+    Each round joins the open requests with the responses and is written to
+    shared storage, so the rounds stop as soon as no chain is open: eleven at
+    most.  A redirect without target ends the chain; a loop, an eleventh
+    redirect and an address without response are errors.
     """
+    keep = keep or _kept
     answer = responses.where(F.upper("method") == method).where("attempt = 1").select(F.col("url").alias("r_url"), "status", "content_type", "headers", "body", "time_ms")
-    extra = [c for c in requests.columns]
-    hop_type = "array<struct<url:string,status:int>>"
-    open_ = requests.withColumns({"at": F.col("url"), "redirects": F.array().cast(hop_type), "elapsed": F.lit(0).cast("long")})
+    answer = answer.withColumn("target", F.when(F.col("status").isin(*REDIRECTS), _resolved(F.col("headers").getItem("location"), F.col("r_url"))))
+    extra = list(requests.columns)
+    elapsed = F.col("elapsed") + F.coalesce("time_ms", F.lit(0))
+    open_ = requests.withColumns({"at": F.col("url"), "redirects": F.array().cast("array<struct<url:string,status:int>>"), "elapsed": F.lit(0).cast("long")})
     done: list[DataFrame] = []
     for hop in range(MAX_HOPS + 1):
         met = open_.join(answer, F.col("at") == F.col("r_url"), "left")
-        target = _resolved(F.col("headers").getItem("location"), F.col("at"))
-        met = met.withColumn("target", F.when(F.col("status").isin(*REDIRECTS), target))
         seen = F.array_contains(F.transform("redirects", lambda h: h["url"]), F.col("target")) | (F.col("target") == F.col("at"))
         fault = F.when(F.col("status").isNull(), "no response").when(F.col("target").isNull(), None).when(seen, "redirect loop").when(F.lit(hop == MAX_HOPS), "too many redirects")
-        met = met.withColumn("fault", fault)
-        ended = met.where("target is null or fault is not null")
+        met = keep(met.withColumn("fault", fault), "redirect-round")
         clear = F.col("fault").isNotNull()
-        done.append(ended.select(*extra, F.col("at").alias("final_url"), "redirects", F.when(clear, 0).otherwise(F.col("status")).alias("status"), *(F.when(~clear, F.col(c)).alias(c) for c in ("content_type", "headers", "body")), (F.col("elapsed") + F.coalesce("time_ms", F.lit(0))).alias("time_ms"), F.col("fault").alias("error")))
-        if hop < MAX_HOPS:
-            going = met.where("target is not null and fault is null")
-            open_ = going.select(*extra, F.col("target").alias("at"), F.array_append("redirects", F.struct(F.col("at").alias("url"), F.col("status").cast("int").alias("status"))).alias("redirects"), (F.col("elapsed") + F.coalesce("time_ms", F.lit(0))).alias("elapsed"))
+        ended = met.where("target is null or fault is not null")
+        done.append(ended.select(*extra, F.col("at").alias("final_url"), "redirects", F.when(clear, 0).otherwise(F.col("status")).alias("status"), *(F.when(~clear, F.col(c)).alias(c) for c in ("content_type", "headers", "body")), elapsed.alias("time_ms"), F.col("fault").alias("error")))
+        going = met.where("target is not null and fault is null")
+        if going.isEmpty():
+            break
+        open_ = going.select(*extra, F.col("target").alias("at"), F.array_append("redirects", F.struct(F.col("at").alias("url"), F.col("status").cast("int").alias("status"))).alias("redirects"), elapsed.alias("elapsed"))
     return reduce(DataFrame.unionByName, done)
 
 
@@ -139,7 +141,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Sc
         accepted, done = accepted + count, done + count
         may = allowed(robots or {}, F.col("url")) if scope.respect_robots else F.lit(True)
         level = level.withColumn("blocked", ~may)
-        fetched = follow_redirects(level.where("not blocked"), responses)
+        fetched = follow_redirects(level.where("not blocked"), responses, keep=keep)
         if "rendered_html" in responses.columns:
             fetched = fetched.join(responses.where("attempt = 1 and method = 'GET'").select(F.col("url").alias("v_url"), "rendered_html"), F.col("final_url") == F.col("v_url"), "left").drop("v_url")
         # A redirect's target that is known, or that an earlier page of this level claims, keeps its content there.
