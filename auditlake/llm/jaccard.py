@@ -34,7 +34,7 @@ LEADERS = 64
 #: Rows of one class compared with one leader in one task.
 SALT_ROWS = 512
 #: Tokens that the orders know to be common; others count as equally rare.
-COMMON_TOKENS = 1 << 20
+COMMON_TOKENS = 1 << 22
 #: A task counts tokens over stretches of about this many and reports those that occur twice or more.
 COUNTED_TOKENS = 1 << 22
 
@@ -86,21 +86,29 @@ def prefix_size(n: int, percent: int) -> int:
 class Orders:
     """Global token orders: known common tokens last by count, then by a hash of the order's own."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
-        at = np.argsort(tokens)
-        self.tokens, self.counts = tokens[at], counts[at]
+    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
+        """``tokens``: upper halves of the known tokens; ``levels``: their counts on a logarithmic scale.
+
+        An order is a function of the token alone, so halves that coincide and
+        counts that are rounded change the order, not what the filter finds.
+        """
+        at = np.lexsort((levels, tokens))
+        tokens, levels = tokens[at], levels[at]
+        last = np.concatenate([tokens[1:] != tokens[:-1], [True]]) if len(tokens) else np.empty(0, bool)
+        self.tokens, self.levels = tokens[last], levels[last]
 
     def prefix(self, tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
         size = prefix_size(len(tokens), percent)
-        count = np.zeros(len(tokens), np.int64)
+        level = np.zeros(len(tokens), np.int64)
         if len(self.tokens):
-            place = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            count = np.where(self.tokens[place] == tokens, self.counts[place], 0)
-        return tokens[np.lexsort((_mix(tokens ^ _SALTS[order]), count))[:size]]
+            half = (tokens >> np.uint64(32)).astype(np.uint32)
+            place = np.minimum(np.searchsorted(self.tokens, half), len(self.tokens) - 1)
+            level = np.where(self.tokens[place] == half, self.levels[place], 0)
+        return tokens[np.lexsort((_mix(tokens ^ _SALTS[order]), level))[:size]]
 
 
 def _common_tokens(seen: DataFrame) -> Orders:
-    """Orders that know the most frequent tokens: at most ``COMMON_TOKENS``, twelve bytes each, reach the driver.
+    """Orders that know the most frequent tokens: at most ``COMMON_TOKENS``, five bytes each, reach the driver.
 
     A histogram of counts gives the smallest count whose tokens are few enough;
     they come packed, a few large rows in all.
@@ -116,11 +124,12 @@ def _common_tokens(seen: DataFrame) -> Orders:
 
     def pack(batches):
         for batch in batches:
-            row = [[batch.column("token").to_numpy().tobytes()], [batch.column("n").to_numpy().tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in row], ["token", "n"])
+            half = (batch.column("token").to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
+            level = np.minimum(8 * np.log2(batch.column("n").to_numpy()), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([half.tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], ["token", "level"])
 
-    packed = counts.where(F.col("n") >= least).mapInArrow(pack, "token binary, n binary").collect()
-    return Orders(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(bytes(r.token), np.uint64) for r in packed)]), np.concatenate([np.empty(0, np.int32), *(np.frombuffer(bytes(r.n), np.int32) for r in packed)]))
+    packed = counts.where(F.col("n") >= least).mapInArrow(pack, "token binary, level binary").collect()
+    return Orders(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(bytes(r.token), "<u4") for r in packed)]), np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(bytes(r.level), np.uint8) for r in packed)]))
 
 
 def _key(tokens: np.ndarray) -> bytes:
@@ -301,12 +310,21 @@ class JaccardJoin:
         own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
         return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
-    def _meeting(self, rows: DataFrame, leaders: DataFrame) -> DataFrame:
-        """Pairs (a, b), a > b, of one group and two components whose sizes and places fit."""
+    @staticmethod
+    def _with_mode(rows: DataFrame) -> DataFrame:
+        """Adds each group's largest component and how many rows are outside it."""
+        sizes = rows.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("component", F.struct("k", "component")).alias("mode"), (F.sum("k") - F.max("k")).alias("others"))
+        return stored(rows.join(stored(sizes, "jaccard-modes"), "g"), "jaccard-many")
+
+    def _meeting(self, rows: DataFrame, leaders: DataFrame, ordered: bool = True) -> DataFrame:
+        """Pairs (a, b), a > b, of one group and two components whose sizes and places fit.
+
+        ``ordered``: a leader's partners of smaller id are leaders themselves, so larger ones are enough.
+        """
         other = leaders.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("component").alias("b_component"))
-        met = (F.col("id") > F.col("b")) & (F.col("component") != F.col("b_component")) & self._close("n", "b_n", "pos", "b_pos")
+        met = ((F.col("id") > F.col("b")) if ordered else (F.col("id") != F.col("b"))) & (F.col("component") != F.col("b_component")) & self._close("n", "b_n", "pos", "b_pos")
         mine = rows.select(F.col("g").alias("own"), "id", "n", "pos", "component")
-        return mine.join(other, (F.col("own") == F.col("g")) & met).select(F.col("id").alias("a"), "b").distinct()
+        return mine.join(other, (F.col("own") == F.col("g")) & met).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
     def _remaining(self, rest: DataFrame, known: DataFrame, labels: DataFrame, store: DataFrame) -> DataFrame:
         """Links between members of one group that their leaders have not joined yet."""
@@ -320,15 +338,19 @@ class JaccardJoin:
             if open_.isEmpty():
                 return links
             pairs = self._meeting(few := open_.where(F.col("size") <= SMALL), few)
-            many = open_.where(F.col("size") > SMALL)
+            many = self._with_mode(open_.where(F.col("size") > SMALL))
+            # Where nearly all of a group is one component, only the few others meet the rest.
+            small_rest = many.where(F.col("others") <= SMALL)
+            pairs = pairs.unionByName(self._meeting(small_rest, small_rest.where("component <> mode"), ordered=False))
+            many = many.where(F.col("others") > SMALL)
             if level < 2:
                 token = store.select("id", F.explode("second" if level == 0 else "third").alias("t"))
                 rest = many.select("g", "id", "n", "pos").join(token, "id").select(F.xxhash64("g", "t").alias("g"), "id", "n", "pos")
             else:  # the first members of each group lead a round, until none is left
                 ranked = stored(many.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("id"))), "jaccard-ranked")
-                pairs = pairs.unionByName(self._meeting(ranked, ranked.where(F.col("rank") <= LEADERS))).distinct()
+                pairs = pairs.unionByName(self._meeting(ranked, ranked.where(F.col("rank") <= LEADERS)))
                 rest = ranked.where(F.col("rank") > LEADERS).select("g", "id", "n", "pos")
-            found = self._verified(pairs, store)
+            found = self._verified(pairs.distinct(), store)
             links = links.unionByName(found)
             if level >= 2:
                 labels = components(known.unionByName(links))
