@@ -66,25 +66,28 @@ def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "G
     redirect and an address without response are errors.
     """
     keep = keep or _kept
-    answer = responses.where(F.upper("method") == method).where("attempt = 1").select(F.col("url").alias("r_url"), "status", "content_type", "headers", "body", "time_ms")
-    answer = answer.withColumn("target", F.when(F.col("status").isin(*REDIRECTS), _resolved(F.col("headers").getItem("location"), F.col("r_url"))))
+    answer = responses.where(F.upper("method") == method).where("attempt = 1")
+    target = F.when(F.col("status").isin(*REDIRECTS), _resolved(F.col("headers").getItem("location"), F.col("url")))
+    # Rounds move addresses only; bodies are joined once, to the last answer of each chain.
+    moves = keep(answer.select(F.col("url").alias("r_url"), "status", target.alias("target"), "time_ms"), "redirect-moves")
     extra = list(requests.columns)
     elapsed = F.col("elapsed") + F.coalesce("time_ms", F.lit(0))
     open_ = requests.withColumns({"at": F.col("url"), "redirects": F.array().cast("array<struct<url:string,status:int>>"), "elapsed": F.lit(0).cast("long")})
     done: list[DataFrame] = []
     for hop in range(MAX_HOPS + 1):
-        met = open_.join(answer, F.col("at") == F.col("r_url"), "left")
+        met = open_.join(moves, F.col("at") == F.col("r_url"), "left")
         seen = F.array_contains(F.transform("redirects", lambda h: h["url"]), F.col("target")) | (F.col("target") == F.col("at"))
         fault = F.when(F.col("status").isNull(), "no response").when(F.col("target").isNull(), None).when(seen, "redirect loop").when(F.lit(hop == MAX_HOPS), "too many redirects")
         met = keep(met.withColumn("fault", fault), "redirect-round")
-        clear = F.col("fault").isNotNull()
         ended = met.where("target is null or fault is not null")
-        done.append(ended.select(*extra, F.col("at").alias("final_url"), "redirects", F.when(clear, 0).otherwise(F.col("status")).alias("status"), *(F.when(~clear, F.col(c)).alias(c) for c in ("content_type", "headers", "body")), elapsed.alias("time_ms"), F.col("fault").alias("error")))
+        done.append(ended.select(*extra, F.col("at").alias("final_url"), "redirects", F.when(F.col("fault").isNotNull(), 0).otherwise(F.col("status")).alias("status"), elapsed.alias("time_ms"), F.col("fault").alias("error")))
         going = met.where("target is not null and fault is null")
         if going.isEmpty():
             break
         open_ = going.select(*extra, F.col("target").alias("at"), F.array_append("redirects", F.struct(F.col("at").alias("url"), F.col("status").cast("int").alias("status"))).alias("redirects"), elapsed.alias("elapsed"))
-    return reduce(DataFrame.unionByName, done)
+    ended = reduce(DataFrame.unionByName, done)
+    content = answer.select(F.col("url").alias("c_final"), "content_type", "headers", "body")
+    return ended.join(content, (F.col("final_url") == F.col("c_final")) & F.col("error").isNull(), "left").drop("c_final")
 
 
 def take_budget(candidates: DataFrame, budget: int, order: list) -> DataFrame:
