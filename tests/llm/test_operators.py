@@ -71,6 +71,20 @@ def test_packing(odd, none):
     assert packing.piece_lengths(2048 * 2 + 5) == [2048, 2048, 4, 1] and packing.pack(none, RANKS).count() == 0
 
 
+def test_packing_of_the_added_token(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 2, f"x{end}\n\n  y", f"a  {end}  z{end}", "<|endoftext| >", f"{end[:-1]}{end}", ("ab c" * 30_000 + end + " d e" * 30_000)]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS).collect()
+    for doc_id, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start)
+        assert b"".join(bytes(r.ids) for r in own) == np.array(ids, "<u4").tobytes()
+        assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.doc_tokens == len(ids) for r in own)
+
+
 def test_matroska(odd, none):
     for mode, frames in (("xiph", [b"a" * 300, b"b", b"c" * 700]), ("ebml", [b"a" * 300, b"b" * 10, b"c" * 700, b"d"]), ("fixed", [b"xy"] * 4), ("none", [b"q"])):
         flags, body = matroska.lace(frames, mode)
