@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("-c", "--config")
         sub.add_argument("--db")
         if name == "crawl":
-            sub.add_argument("--responses", help="recorded responses (Parquet); without it pages are fetched")
+            sub.add_argument("--responses", help="recorded responses (Parquet), always needed: the command fetches no pages itself")
             sub.add_argument("--max-pages", type=_number)
             sub.add_argument("--max-depth", type=_number)
             sub.add_argument("--fail-on", choices=SEVERITIES)
@@ -107,7 +107,7 @@ def _run(args, spark) -> int:
 
 
 def _crawl(args, config, rules, store, spark) -> int:
-    from .operators.crawl import Scope, crawl
+    from .operators.crawl import Scope, crawl, recorded_robots
     from .operators.site import SiteContext
     from .sources.inputs import seeds
 
@@ -130,7 +130,9 @@ def _crawl(args, config, rules, store, spark) -> int:
         s = config.scope
         scope = Scope(s.hosts, s.include, s.exclude, s.maxDepth, s.maxPages, s.followLinks, s.checkExternal, s.maxExternal, config.render.mode, config.politeness.respectRobots)
         run_id = store.start_run(config.name, config)
-        pages, aborted = crawl(spark, made, spark.read.parquet(args.responses), scope, should_stop=lambda: bool(stopped))
+        responses = spark.read.parquet(args.responses)
+        robots = recorded_robots(made, responses, scope) if scope.respect_robots else None
+        pages, aborted = crawl(spark, made, responses, scope, robots, config.politeness.userAgent, should_stop=lambda: bool(stopped))
         store.save_pages(run_id, pages)
         site = SiteContext(spark.createDataFrame([(u,) for u in listed], "url string") if listed else None, s.followLinks)
         findings = run_rules(pages, rules, site)

@@ -42,6 +42,23 @@ def merge_seeds(seeds: DataFrame) -> DataFrame:
     return rows.select("url", F.col("best.source").alias("source"), F.struct(F.col("best.rank").alias("rank"), F.col("best.pos").alias("pos")).alias("place"))
 
 
+def _start(seeds: DataFrame) -> DataFrame:
+    return merge_seeds(seeds.withColumn("url", _resolved("url", "url")).where("url is not null"))
+
+
+def _hosts(start: DataFrame, scope: Scope) -> list[str]:
+    """The crawl's sites: those of the scope and of the seeds."""
+    return sorted({*(h.removeprefix("www.") for h in scope.hosts), *(r[0] for r in start.select(site_key(hostname_of(F.col("url")))).distinct().collect())})
+
+
+def recorded_robots(seeds: DataFrame, responses: DataFrame, scope: Scope) -> dict[str, str]:
+    """Robots text by origin, for the crawl's sites: the 2xx answers of /robots.txt, behind redirects too."""
+    mine = F.coalesce(site_key(hostname_of(F.col("url"))).isin(*_hosts(_start(seeds), scope)), F.lit(False))
+    asked = responses.where(F.col("url").rlike("^[a-z]+://[^/?#]+/robots[.]txt$") & mine).where("upper(method) = 'GET' and attempt = 1").select("url").distinct()
+    got = follow_redirects(asked, responses).where("status between 200 and 299 and body is not null")
+    return {r.url.removesuffix("/robots.txt"): r.body for r in got.select("url", "body").collect()}
+
+
 def in_scope(url: Column, hosts: list[str], scope: Scope) -> Column:
     """The site is one of the crawl's, and the path passes the globs."""
     tests = [F.coalesce(site_key(hostname_of(url)).isin(*hosts), F.lit(False))]
@@ -114,20 +131,20 @@ def pages_of(fetched: DataFrame, render: str = "auto") -> DataFrame:
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGE))
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Scope, robots: dict[str, str] | None = None, should_stop: Callable[[], bool] = lambda: False, on_level: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, bool]:
+def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Scope, robots: dict[str, str] | None = None, agent: str = "*", should_stop: Callable[[], bool] = lambda: False, on_level: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, bool]:
     """Breadth-first crawl: (pages, whether it was aborted).
 
     ``seeds``: url, source, pos.  ``responses``: url, method, attempt, status,
     content_type, headers, body, time_ms and perhaps rendered_html.  ``robots``:
-    text by origin, bounded by the crawl's hosts.  Seeds pass the page budget but
+    text by origin, bounded by the crawl's hosts, read as ``agent``.  Seeds pass the page budget but
     use it up; links of 2xx pages join the next level while depth and budget
     last.  A page whose redirect leads to a known address keeps no content.
     ``keep`` writes a level to shared storage (default: the operator's own).
     """
     if keep is None:
         keep = _kept
-    start = merge_seeds(seeds.withColumn("url", _resolved("url", "url")).where("url is not null"))
-    hosts = sorted({*(h.removeprefix("www.") for h in scope.hosts), *(r[0] for r in start.select(site_key(hostname_of(F.col("url")))).distinct().collect())})
+    start = _start(seeds)
+    hosts = _hosts(start, scope)
     level = start.select("url", F.lit(None).cast("string").alias("found_on"), F.col("source").alias("seed_source"), F.struct(F.lit(0).cast("long").alias("a"), F.col("place.rank").cast("long").alias("b"), F.col("place.pos").cast("long").alias("c")).alias("place"))
     known: DataFrame | None = None
     parts: list[DataFrame] = []
@@ -142,7 +159,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Sc
         if not count:
             break
         accepted, done = accepted + count, done + count
-        may = allowed(robots or {}, F.col("url")) if scope.respect_robots else F.lit(True)
+        may = allowed(robots or {}, F.col("url"), agent) if scope.respect_robots else F.lit(True)
         level = level.withColumn("blocked", ~may)
         fetched = follow_redirects(level.where("not blocked"), responses, keep=keep)
         if "rendered_html" in responses.columns:

@@ -36,7 +36,8 @@ def groups(text: str) -> list[tuple[set[str], list[tuple[bool, str]], float | No
 
 
 def rules_for(text: str, agent: str = "*") -> tuple[list[tuple[bool, str]], float | None]:
-    """Rules and delay of the groups that name the agent, else of ``*``."""
+    """Rules and delay of the groups that name the agent (without its version), else of ``*``."""
+    agent = agent.partition("/")[0].strip()
     found = groups(text)
     own = [g for g in found if agent.lower() in g[0] and agent != "*"] or [g for g in found if "*" in g[0]]
     return [r for g in own for r in g[1]], next((g[2] for g in own if g[2] is not None), None)

@@ -122,3 +122,21 @@ def test_reports(spark, pages):
     page = reports.as_html(summary, pages, found)
     assert "<script" in page and "http://" not in page.split("</style>")[0]
     assert reports.annotations(found).startswith("::error")
+
+
+def test_crawl_command_respects_robots(spark, responses, tmp_path):
+    from auditlake.cli import main
+
+    robots = "User-agent: *\nDisallow: /b\n\nUser-agent: checker\nDisallow: /a\n"
+    extra = [(HOST + "/robots.txt", "GET", 1, 301, "text/plain", {"location": "/rules.txt"}, None, 1), (HOST + "/rules.txt", "GET", 1, 200, "text/plain", {}, robots, 1), ("https://other.example/robots.txt", "GET", 1, 404, "text/plain", {}, "User-agent: *\nDisallow: /", 1)]
+    responses.unionByName(spark.createDataFrame(extra, responses.schema)).write.parquet(str(tmp_path / "responses"))
+    blocked = {}
+    for agent, respect in (("Checker/1.0", "true"), ("someone", "true"), ("Checker/1.0", "false")):
+        folder = tmp_path / f"{agent[:4]}-{respect}"
+        folder.mkdir()
+        (folder / "site.yaml").write_text(f"start: {{urls: ['{HOST}/', 'https://other.example/x']}}\npoliteness: {{respectRobots: {respect}, userAgent: {agent}}}\n")
+        assert main(["crawl", "-c", str(folder / "site.yaml"), "--responses", str(tmp_path / "responses")], spark) == 0
+        pages = Store(spark, str(folder / "audit-store")).pages(1).collect()
+        blocked[agent, respect] = {r.url.removeprefix(HOST) for r in pages if r.robots_blocked}
+        assert all(r.status == 0 and r.raw is None for r in pages if r.robots_blocked)
+    assert blocked == {("Checker/1.0", "true"): {"/a"}, ("someone", "true"): {"/b"}, ("Checker/1.0", "false"): set()}
