@@ -101,7 +101,9 @@ def _run(args, spark) -> int:
 
         before, after = pair
         aborted = store.runs().where(f"id in ({before}, {after}) and aborted").count() > 0
-        print(reports.diff_text(diff_runs(store.pages(before), store.pages(after), store.findings(before), store.findings(after)), f"run {before}", f"run {after}", args.md, aborted))
+        diff = diff_runs(store.pages(before), store.pages(after), store.findings(before), store.findings(after))
+        for line in reports.diff_lines(diff, f"run {before}", f"run {after}", args.md, aborted):
+            print(line)
         return 0
     return _crawl(args, config, rules, store, spark)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -125,14 +126,22 @@ def as_html(summary: dict, pages: DataFrame, findings: DataFrame, title: str = "
     return "".join(parts)
 
 
-def diff_text(diff, before: str, after: str, markdown: bool = False, aborted: bool = False, most: int = 1000) -> str:
-    """Text or Markdown of a RunDiff."""
+def diff_lines(diff, before: str, after: str, markdown: bool = False, aborted: bool = False) -> Iterator[str]:
+    """Lines of text or Markdown of a RunDiff: every row, one partition at a time."""
     mark = "## " if markdown else ""
-    lines = [f"{'# ' if markdown else ''}{before} to {after}"] + ["One of the runs was aborted; its pages are incomplete."] * aborted
+    yield f"{'# ' if markdown else ''}{before} to {after}"
+    if aborted:
+        yield "One of the runs was aborted; its pages are incomplete."
     for name, frame, shape in (("Added", diff.added, lambda r: r.url), ("Removed", diff.removed, lambda r: r.url), ("Changed", diff.changes, lambda r: f"{r.url} {r.field}: {r.before} to {r.after}"), ("New findings", diff.new_findings, lambda r: f"{r.rule_id} {r.url}"), ("Resolved findings", diff.resolved_findings, lambda r: f"{r.rule_id} {r.url}")):
-        rows = frame.orderBy("url").limit(most).collect()
-        lines += ["", f"{mark}{name} ({frame.count()})", *(f"- {_cell(shape(r)) if markdown else shape(r)}" for r in rows)]
-    return "\n".join(lines)
+        yield ""
+        yield f"{mark}{name} ({frame.count()})"
+        for r in frame.orderBy("url").toLocalIterator():
+            yield f"- {_cell(shape(r))}" if markdown else shape(r)
+
+
+def diff_text(diff, before: str, after: str, markdown: bool = False, aborted: bool = False) -> str:
+    """Text or Markdown of a RunDiff; ``diff_lines`` gives it line by line."""
+    return "\n".join(diff_lines(diff, before, after, markdown, aborted))
 
 
 def runs_text(runs: DataFrame) -> str:

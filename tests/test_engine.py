@@ -140,3 +140,16 @@ def test_crawl_command_respects_robots(spark, responses, tmp_path):
         blocked[agent, respect] = {r.url.removeprefix(HOST) for r in pages if r.robots_blocked}
         assert all(r.status == 0 and r.raw is None for r in pages if r.robots_blocked)
     assert blocked == {("Checker/1.0", "true"): {"/a"}, ("someone", "true"): {"/b"}, ("Checker/1.0", "false"): set()}
+
+
+def test_diff_report_lists_every_row(spark):
+    from auditlake.operators.diff import RunDiff
+    from auditlake.sources import reports
+
+    pages = spark.range(1205).select(F.format_string("https://a.de/%05d", "id").alias("url"))
+    none = pages.where("false")
+    diff = RunDiff(pages, none, none, none, pages.withColumn("rule_id", F.lit("r")).select("rule_id", "url"))
+    lines = reports.diff_text(diff, "run 1", "run 2").split("\n")
+    urls = [f"https://a.de/{i:05d}" for i in range(1205)]
+    assert lines == ["run 1 to run 2", "", "Added (1205)", *urls, "", "Removed (0)", "", "Changed (0)", "", "New findings (0)", "", "Resolved findings (1205)", *(f"r {u}" for u in urls)]
+    assert reports.diff_text(diff, "run 1", "run 2", True, True).count("\n- ") == 2410
