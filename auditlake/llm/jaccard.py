@@ -6,8 +6,8 @@ of the first order (common tokens last, so that boilerplate stays out of the
 prefixes) and must share prefix tokens under two more orders before their sets
 are compared.
 
-Documents with one shingle set are one class, named by its smallest doc_id.  A
-group of classes that share a token is not expanded into pairs: each class is
+Documents with one shingle set are one class with a number of its own, since rows
+of one doc_id may differ in text and so be in several classes.  A group of classes that share a token is not expanded into pairs: each class is
 first compared with the group's smallest one.  Pairs that are then still in
 different components are the only ones left; groups with more than ``SMALL`` of
 them are split by their members' prefix tokens of the next order.  Groups are
@@ -156,25 +156,25 @@ class JaccardJoin:
         if not 0 < percent <= 100:
             raise ValueError("the similarity is a percentage above 0")
         self.words, self.percent = words, percent
-        self.docs = texts(docs)
+        self.docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
         shingler = Shingler(words)
 
         def measure(batches):
             gathered: list[np.ndarray] = []
             held = 0
 
-            def rows(common, doc_id, n, key) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(common, pa.bool_()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary())], ["common", "doc_id", "n", "key"])
+            def rows(common, doc_id, n, key, text_hash) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(common, pa.bool_()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(text_hash, pa.int64())], ["common", "doc_id", "n", "key", "text_hash"])
 
             def often() -> pa.RecordBatch:
                 token, count = np.unique(np.concatenate(gathered), return_counts=True)
                 token, count = token[count > 1], count[count > 1]
-                return rows(np.ones(len(token), bool), token.view(np.int64), count, [None] * len(token))
+                return rows(np.ones(len(token), bool), token.view(np.int64), count, [None] * len(token), [None] * len(token))
 
             for batch in batches:
                 for part in slices(batch):
                     sets = [shingler.tokens(t) for t in part.column("text").to_pylist()]
-                    yield rows(np.zeros(len(sets), bool), part.column("doc_id"), [len(s) for s in sets], [_key(s) if len(s) else None for s in sets])
+                    yield rows(np.zeros(len(sets), bool), part.column("doc_id"), [len(s) for s in sets], [_key(s) if len(s) else None for s in sets], part.column("text_hash"))
                     gathered += sets
                     held += sum(map(len, sets))
                     if held >= COUNTED_TOKENS:
@@ -183,12 +183,13 @@ class JaccardJoin:
             if gathered:
                 yield often()
 
-        measured = stored(self.docs.mapInArrow(measure, "common boolean, doc_id long, n long, key binary"), "jaccard-sets")
-        #: One row per document: doc_id, n, key of its shingle set (null: empty).
+        measured = stored(self.docs.mapInArrow(measure, "common boolean, doc_id long, n long, key binary, text_hash long"), "jaccard-sets")
+        #: One row per document: doc_id, n, key of its shingle set (null: empty), hash of its text.
         self.sets = measured.where("not common").drop("common")
         self.orders = _common_tokens(measured.where("common").select(F.col("doc_id").alias("token"), "n"))
-        #: key -> smallest doc_id with that set; documents without id name no class.
-        self.classes = stored(self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
+        #: key -> number (id) of the class, and its smallest doc_id with the hash of one of that row's texts; documents without id make no class.
+        named = self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+        self.classes = stored(named.select("key", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("id")), "jaccard-classes")
 
     def _prefixes(self) -> DataFrame:
         """token, id, n, pos: first-order prefix tokens of every class and their places."""
@@ -205,13 +206,13 @@ class JaccardJoin:
             return {"doc_id": [v[0] for v in seen.values()], "key": list(seen), "n": [v[1] for v in seen.values()], "tokens": _lists([v[2] for v in seen.values()], np.int64)}
 
         found = arrow_map(self.docs, run, "doc_id long, key binary, n long, tokens array<long>")
-        named = found.join(self.classes.select("key", "id"), "key").where("doc_id = id")
+        named = found.join(self.classes.select("key", "doc_id", "id"), ["key", "doc_id"])
         return named.select(F.posexplode("tokens").alias("pos", "token"), "id", F.col("n").cast("int").alias("n"))
 
     def _store(self, ids: DataFrame) -> DataFrame:
         """id, n, packed text and the prefixes of the second and third order of the given classes."""
         shingler, orders, percent = Shingler(self.words), self.orders, self.percent
-        wanted = self.classes.join(ids, "id").select("id", "key")
+        wanted = self.classes.join(ids, "id").select("id", "key", "doc_id", "text_hash")
 
         def run(batch: pa.RecordBatch) -> dict:
             import zstandard
@@ -220,16 +221,16 @@ class JaccardJoin:
             out: dict[str, list] = {"id": [], "n": [], "text": [], "second": [], "third": []}
             for doc_id, text, key in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
                 tokens = shingler.tokens(text)
-                if _key(tokens) != key:  # the id's other text, of another class
+                if _key(tokens) != key:  # a text of another class whose hash coincides
                     continue
                 second, third = (_mix(orders.prefix(tokens, percent, k)).astype(np.uint32).view(np.int32) for k in (1, 2))
                 for column, value in zip(out.values(), (doc_id, len(tokens), pack(text.encode()), second, third), strict=True):
                     column.append(value)
             return out | {"second": _lists(out["second"], np.int32), "third": _lists(out["third"], np.int32)}
 
-        rows = self.docs.withColumnRenamed("doc_id", "id").join(wanted, "id").select("id", "key", "text")
+        rows = self.docs.join(wanted, ["doc_id", "text_hash"]).select("id", "key", "text")
         made = arrow_map(rows, run, "id long, n int, text binary, second array<int>, third array<int>")
-        return stored(made.dropDuplicates(["id", "n"]), "jaccard-store")
+        return stored(made.dropDuplicates(["id"]), "jaccard-store")
 
     def _verified(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the filters of the other orders and then the exact test.
@@ -302,13 +303,28 @@ class JaccardJoin:
         store = self._store(rows.select("id").distinct())
         first = rows.where("id <> leader").where(self._close("n", "leader_n", "pos", "leader_pos")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
         links = self._verified(first, store)
+        links = links.unionByName(self._same_document())
         labels = components(links)
         rest = rows.where("size > 2 and id <> leader").select("g", "id", "n", "pos")
         links = links.unionByName(self._remaining(rest, links, labels, store))
         labels = components(links)
-        named = self.sets.join(self.classes.select("key", "id"), "key", "left").join(labels, "id", "left")
-        own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "id"))
-        return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+        joined = self.classes.join(labels, "id").select("key", "doc_id", "component")
+        least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        linked = joined.join(least, "component").select("key", "component_id")
+        named = self.sets.join(self.classes.select("key", F.col("doc_id").alias("first_id")), "key", "left").join(linked, "key", "left")
+        named = stored(named.select("doc_id", "n", F.coalesce("component_id", "first_id", "doc_id").alias("component_id")), "jaccard-named")
+        # A row without words goes with the other rows of its doc_id.
+        empty = named.where("n = 0")
+        other = named.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        rows = named.where("n > 0").unionByName(empty.drop("component_id").join(other, "doc_id", "left").select("doc_id", "n", "component_id"))
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+    def _same_document(self) -> DataFrame:
+        """Links (a, b) that join the classes of the rows of one doc_id."""
+        repeated = self.sets.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+        rows = self.sets.where("key is not null").join(stored(repeated, "jaccard-repeated"), "doc_id").select("key", "lo").distinct()
+        number = self.classes.select("key", "id")
+        return rows.join(number.toDF("key", "a"), "key").join(number.toDF("lo", "b"), "lo").where("a <> b").select("a", "b")
 
     @staticmethod
     def _with_mode(rows: DataFrame) -> DataFrame:
@@ -365,10 +381,12 @@ def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> Da
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns kept, with one document of each component: its smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without an id all stay.
+    Of rows that repeat a doc_id, which are one component, one stays, chosen by
+    a hash of its text; rows without an id all stay.
     """
     found = jaccard_components(docs, words, percent)
     gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jaccard-gone")
     named = docs.where("doc_id is not null")
-    kept = named.join(gone, named["doc_id"].cast("long") == gone["gone_id"], "left_anti").dropDuplicates(["doc_id"])
+    kept = named.join(gone, named["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -270,6 +270,21 @@ def test_jaccard_join_against_brute_force(spark, documents, monkeypatch):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    r = np.random.default_rng(5)
+    bases = [[f"{c}{k}" for k in r.permutation(60)] for c in "abcdef"]
+    near = lambda c, k: " ".join([*bases[c][:-1], f"n{k}"])
+    # 10: two texts of one size; 20: of two sizes; 30: one text is 5's; 40: words and none; 50: alone; 60: none twice.
+    rows = [(10, near(0, 0)), (10, near(1, 0)), (11, near(0, 1)), (12, near(1, 1)), (13, near(1, 2)), (20, near(2, 0)), (20, near(3, 0) + " more words"), (21, near(2, 1)), (22, near(3, 1)), (5, near(4, 0)), (30, near(4, 0)), (30, near(5, 0)), (31, near(5, 1)), (40, ""), (40, near(4, 1)), (50, "quite another text that is alone"), (60, ""), (60, None), (None, near(0, 0))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((x.doc_id, x.n_shingles > 0, x.component_id) for x in jaccard.jaccard_components(docs, 3, 80).collect())
+    groups = {5: (5, 30, 31, 40), 10: (10, 11, 12, 13), 20: (20, 21, 22), 50: (50,), 60: (60,)}
+    component = {i: c for c, members in groups.items() for i in members} | {None: None}
+    assert got == collections.Counter((i, bool(t), component[i]) for i, t in rows)
+    kept = [jaccard.one_of_each(docs.repartition(k), 3, 80).collect() for k in (1, 4)]
+    assert sorted(kept[0], key=str) == sorted(kept[1], key=str) and [*sorted(x.doc_id for x in kept[0] if x.doc_id is not None)] == [5, 10, 20, 50, 60] and len(kept[0]) == 6
+
+
 def test_personal_data(odd, none):
     text = "mail a.b@c-d.example.com, ip 10.0.0.256 or 10.0.0.25, card 4111 1111 1111 1111 and +49 (30) 123-45678 end"
     spans = {(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)}
