@@ -48,7 +48,7 @@ FROM g
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    pieces = pack(_table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+    pieces = pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from auditlake.llm import bpe, jaccard, matroska, packing, pii, quality_rff, quality_rules, stats, suffixes, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [(1, "plain words here"), (2, None), (3, ""), (4, "  \n\t "), (None, "no id at all"), (5, "äöü 漢字 🙂 " * 30), (6, "a" * 5000), (7, "plain words here"), (7, "plain words here"), (8, "x y " * 3000)]
 
 
@@ -58,9 +59,8 @@ def test_safe_parts_keep_the_ids():
 def test_packing(odd, none):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(odd, RANKS).collect()
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rows = packing.pack(odd, TOKENIZER).collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and all(r.length & (r.length - 1) == 0 and r.length <= 2048 and r.offset == 0 for r in rows)
     for doc_id, text in ODD:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
@@ -68,21 +68,7 @@ def test_packing(odd, none):
         assert [r.start for r in own] == list(itertools.accumulate([0, *[r.length for r in own]]))[:-1]
         assert b"".join(bytes(r.ids) for r in own) == np.array(ids, "<u4").tobytes()
         assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.doc_tokens == len(ids) for r in own)
-    assert packing.piece_lengths(2048 * 2 + 5) == [2048, 2048, 4, 1] and packing.pack(none, RANKS).count() == 0
-
-
-def test_packing_of_the_added_token(spark):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    end = "<|endoftext|>"
-    texts = [f"a {end} b", end, end * 2, f"x{end}\n\n  y", f"a  {end}  z{end}", "<|endoftext| >", f"{end[:-1]}{end}", ("ab c" * 30_000 + end + " d e" * 30_000)]
-    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS).collect()
-    for doc_id, text in enumerate(texts):
-        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
-        own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start)
-        assert b"".join(bytes(r.ids) for r in own) == np.array(ids, "<u4").tobytes()
-        assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.doc_tokens == len(ids) for r in own)
+    assert packing.piece_lengths(2048 * 2 + 5) == [2048, 2048, 4, 1] and packing.pack(none, TOKENIZER).count() == 0
 
 
 def test_matroska(odd, none):
@@ -307,6 +293,7 @@ def test_personal_data(odd, none):
     assert len(rows) == len(ODD) and all(x.n_email == 0 for x in rows)
     assert pii.personal_data(none, net).count() == 0
     assert pii.mask_documents(odd, net).columns == odd.columns
+    assert [(x.doc_id, x.text, x.score) for x in pii.mask_documents(odd, net).collect()] == [(i, t, 1.5) for i, t in ODD] and pii.mask_documents(none, net).count() == 0
 
 
 def test_crf_gradient():
