@@ -50,16 +50,50 @@ def _sweep() -> None:
             return
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to shared scratch space and read it back: lineage ends there."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.mode("overwrite").parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
 
 
-def slices(batch: pa.RecordBatch, sizes: Callable[[pa.RecordBatch], "object"] | None = None, column: str = "text") -> Iterator[pa.RecordBatch]:
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that no later job reads."""
+    for table in tables:
+        remove(table.sparkSession, table.scratch_path)
+        _made.remove((table.sparkSession, table.scratch_path))
+
+
+class KeyFilter:
+    """A Bloom filter of one hash over the keys of a table: at most 2^27 bits (16 MB), so it can be broadcast.
+
+    Rows that it rejects have no key of the table; the others have to be joined.
+    It only keeps rows out of a shuffle and never decides.
+    """
+
+    MOST_BITS = 27
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        self.size = 1 << min(max((8 * keys.count()).bit_length(), 15), self.MOST_BITS)
+        place = (F.pmod(F.xxhash64(*columns), F.lit(self.size)) + 1).alias("p")
+        self.bits = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("_filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_filter_bits"))
+
+    def marked(self, df: DataFrame, *columns: str) -> DataFrame:
+        """``df`` with a boolean column ``_filter_hit``: false only where the keys are not in the table."""
+        placed = df.withColumn("_filter_place", F.pmod(F.xxhash64(*columns), F.lit(self.size)) + 1)
+        placed = placed.withColumn("_filter_at", F.bitmap_bit_position("_filter_place"))
+        joined = placed.join(F.broadcast(self.bits), F.bitmap_bucket_number("_filter_place") == F.col("_filter_bucket"), "left")
+        hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(_filter_bits, cast(_filter_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_filter_at % 8 as int)) & 1, 0) = 1")
+        return joined.withColumn("_filter_hit", hit).drop("_filter_place", "_filter_at", "_filter_bucket", "_filter_bits")
+
+    def possible(self, df: DataFrame, *columns: str) -> DataFrame:
+        return self.marked(df, *columns).where("_filter_hit").drop("_filter_hit")
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds a bounded number of rows and of bytes of ``column`` (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
@@ -71,13 +105,13 @@ def slices(batch: pa.RecordBatch, sizes: Callable[[pa.RecordBatch], "object"] |
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = int(np.searchsorted(ends, base + SLICE_BYTES, side="right"))
+        to = int(np.searchsorted(ends, base + most, side="right"))
         to = min(max(to, at + 1), at + SLICE_ROWS, batch.num_rows)
         yield batch.slice(at, to - at)
         at = to
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str, column: str = "text") -> DataFrame:
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """``function`` maps a bounded slice to columns; Arrow batches in and out, no row objects."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -87,13 +121,24 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, obje
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(struct)
         for batch in batches:
-            for part in slices(batch, column=column):
+            for part in slices(batch, column, most):
                 made = function(part)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, struct)
 
 
+def arrow_rows(df: DataFrame, function: Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch], column: str = "text") -> DataFrame:
+    """``function`` changes or drops the rows of a bounded slice, given it and its texts; all columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column):
+                yield function(part, part.column(part.schema.get_field_index(column)).to_pylist())
+
+    return df.withColumn(column, F.col(column).cast("string")).mapInArrow(run, df.withColumn(column, F.col(column).cast("string")).schema)
+
+
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text with nulls as empty; extra columns are dropped here."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)

@@ -1,9 +1,10 @@
 """Personal data: exact rules, and a character-level BiLSTM-CRF that adds to them.
 
-All four kinds hold a digit or an ``@``, so the network looks at the stretches
-around these characters only, wherever they are in a text.  A stretch is cut
-into overlapping windows; their emissions are averaged where windows overlap and
-one Viterbi pass over the whole stretch decides.  The network is trained in
+Whole texts are searched.  A span of any kind has to hold a digit or an ``@`` to
+be accepted, so the network reads the stretches around these characters, with
+two windows of context on either side, wherever they are in a text.  A stretch
+is cut into overlapping windows; their emissions are averaged where windows
+overlap and one Viterbi pass over the whole stretch decides.  The network is trained in
 numpy from labelled spans that a seeded generator writes.
 """
 
@@ -17,9 +18,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, arrow_rows, texts
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -30,7 +30,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _STRETCH = re.compile(r"[0-9@](?:.{0,11}[0-9@])*", re.S)
-MARGIN, WINDOW, STRIDE = 24, 64, 32
+WINDOW, STRIDE = 64, 32
+#: Context that the network reads on either side of a digit or ``@``.
+MARGIN = 2 * WINDOW
 
 Span = tuple[int, int, int]
 
@@ -47,6 +49,12 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def _octets(text: str) -> bool:
+    """Every part is at most 255, whatever zeros lead it."""
+    parts = [p.lstrip("0") for p in text.split(".")]
+    return all(len(p) < 3 or len(p) == 3 and p <= "255" for p in parts)
+
+
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) by the exact rules, ordered by kind and start; failing matches are dropped."""
     found: list[Span] = []
@@ -64,7 +72,7 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if _octets(m[0]):
             found.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
@@ -342,7 +350,7 @@ def _plausible(kind: int, text: str) -> bool:
     if kind == 0:
         return "@" in text[1:-1] and "." in text and not any(c.isspace() for c in text)
     if kind == 1:
-        return bool(_IP.fullmatch(text)) and all(int(p) <= 255 for p in text.split("."))
+        return bool(_IP.fullmatch(text)) and _octets(text)
     if kind == 2:
         return 13 <= len(digits) <= 19 and not any(c.isalpha() for c in text) and luhn(digits)
     return 7 <= len(digits) <= 15 and len(digits) < len(text) <= 24 and not any(c.isalpha() for c in text)
@@ -420,14 +428,16 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def mask_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
-    """The rows of ``docs`` with personal data masked in ``text``; null texts stay null."""
-    model = net or trained()
+    """The rows of ``docs`` with personal data masked in ``text``, all columns kept.
 
-    @F.pandas_udf("string")
-    def mask(column):
-        import pandas as pd
+    Null texts stay null, empty ones empty; each of repeated rows is masked; an
+    empty table stays empty.  Long texts are taken in slices of bounded bytes.
+    """
+    model = net or trained()
 
-        rows = column.fillna("").tolist()
-        return pd.Series([masked(t, every) for t, (_, every) in zip(rows, find_spans(rows, model), strict=True)], dtype=object).where(column.notna(), None)
+    def run(part: pa.RecordBatch, found: list[str | None]) -> pa.RecordBatch:
+        spans = find_spans([t or "" for t in found], model)
+        made = [None if t is None else masked(t, every) for t, (_, every) in zip(found, spans, strict=True)]
+        return part.set_column(at := part.schema.get_field_index("text"), part.schema.field(at), pa.array(made, part.schema.field(at).type))
 
-    return docs.withColumn("text", mask(F.col("text").cast("string")))
+    return arrow_rows(docs, run)
