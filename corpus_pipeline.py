@@ -42,7 +42,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of power-of-two lengths, without their ids."""
-    return pack(docs, vocabulary(), with_ids=False)
+    return pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("passages", cut_passages), ("personal data", mask_personal_data), ("packing", pack_pieces)]
