@@ -158,7 +158,7 @@ def extract(source: str, page_url: str, status: int | None = None, time_ms: int
                     seen.add("canonical")
                     pending.append(("canonical", own.get("href")))
                 if "alternate" in rel and "hreflang" in own:
-                    pending.append(("hreflang", own["hreflang"].strip(), own.get("href")))
+                    pending.append(("hreflang", own["hreflang"], own.get("href", "")))
             elif re.fullmatch("h[1-6]", value):
                 close_heading()
                 heading = (int(value[1]), [])
@@ -167,7 +167,7 @@ def extract(source: str, page_url: str, status: int | None = None, time_ms: int
                 if "href" in own:
                     anchor = (own, [])
             elif value == "img":
-                pending.append(("img", own.get("src") or own.get("data-src") or "", own.get("alt")))
+                pending.append(("img", own.get("src", own.get("data-src", "")), own.get("alt")))
         else:
             if hidden and value in hidden:
                 del hidden[hidden.index(value) :]
@@ -190,13 +190,13 @@ def extract(source: str, page_url: str, status: int | None = None, time_ms: int
     root = start.url if start else page_url
     for kind, *parts in pending:
         if kind == "canonical":
-            target = parse_url(parts[0], root) if parts[0] is not None else None
+            target = parse_url(parts[0], root) if parts[0] else None
             found["canonical"] = target.url if target else None
         elif kind == "hreflang":
-            target = parse_url(parts[1], root) if parts[1] is not None else None
+            target = parse_url(parts[1], root)
             found["hreflang"].append({"lang": parts[0], "href": target.url if target else ""})
         elif kind == "img":
-            target = parse_url(parts[0], root) if parts[0] else None
+            target = parse_url(parts[0], root)
             found["images"].append({"src": target.url if target else parts[0], "alt": parts[1]})
         else:
             own, text = parts
@@ -229,7 +229,11 @@ def snapshot(source: Column, url: Column, status: Column | None = None, time_ms:
     return F.when(source.isNotNull(), made)
 
 
+#: The ids of application roots, in quotes of either kind.
+EMPTY_ROOT = r"(?i)<div[^>]+id=[\"'](?:app|root|__next|__nuxt|___gatsby)[\"'][^>]*>\s*</div>"
+
+
 def needs_render(source: Column, snap: Column) -> Column:
     """An empty application root, fewer than 50 words or fewer than two links."""
-    empty_root = source.rlike(r"(?i)<div[^>]+id=[\"']?(?:app|root|__next|__nuxt|___gatsby)[\"']?[^>]*>\s*</div>")
+    empty_root = source.rlike(EMPTY_ROOT)
     return F.coalesce(empty_root | (snap["word_count"] < 50) | (F.size(snap["links"]) < 2), F.lit(False))

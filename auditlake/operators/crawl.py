@@ -80,13 +80,15 @@ def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "G
     Each round joins the open requests with the responses and is written to
     shared storage, so the rounds stop as soon as no chain is open: eleven at
     most.  A redirect without target ends the chain; a loop, an eleventh
-    redirect and an address without response are errors.
+    redirect, an address without response and a network error (status 0, with
+    the response's own ``error``) are errors.
     """
     keep = keep or _kept
     answer = responses.where(F.upper("method") == method).where("attempt = 1")
     target = F.when(F.col("status").isin(*REDIRECTS), _resolved(F.col("headers").getItem("location"), F.col("url")))
     # Rounds move addresses only; bodies are joined once, to the last answer of each chain.
-    moves = keep(answer.select(F.col("url").alias("r_url"), "status", target.alias("target"), "time_ms"), "redirect-moves")
+    told = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
+    moves = keep(answer.select(F.col("url").alias("r_url"), "status", target.alias("target"), "time_ms", told.alias("told")), "redirect-moves")
     extra = list(requests.columns)
     elapsed = F.col("elapsed") + F.coalesce("time_ms", F.lit(0))
     open_ = requests.withColumns({"at": F.col("url"), "redirects": F.array().cast("array<struct<url:string,status:int>>"), "elapsed": F.lit(0).cast("long")})
@@ -94,7 +96,7 @@ def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "G
     for hop in range(MAX_HOPS + 1):
         met = open_.join(moves, F.col("at") == F.col("r_url"), "left")
         seen = F.array_contains(F.transform("redirects", lambda h: h["url"]), F.col("target")) | (F.col("target") == F.col("at"))
-        fault = F.when(F.col("status").isNull(), "no response").when(F.col("target").isNull(), None).when(seen, "redirect loop").when(F.lit(hop == MAX_HOPS), "too many redirects")
+        fault = F.when(F.col("status").isNull(), "no response").when(F.col("status") == 0, F.coalesce("told", F.lit("no answer"))).when(F.col("target").isNull(), None).when(seen, "redirect loop").when(F.lit(hop == MAX_HOPS), "too many redirects")
         met = keep(met.withColumn("fault", fault), "redirect-round")
         ended = met.where("target is null or fault is not null")
         done.append(ended.select(*extra, F.col("at").alias("final_url"), "redirects", F.when(F.col("fault").isNotNull(), 0).otherwise(F.col("status")).alias("status"), elapsed.alias("time_ms"), F.col("fault").alias("error")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import View
-from ..functions.urls import hostname_of, site_key
+from ..functions.urls import hostname_of, site_key, url_parts
 from ..plans.checks import Compiler, as_strings, fill, is_true, present, show
 from ..plans.model import Rule
 from .resolve import addresses, links, target_columns
@@ -108,7 +108,7 @@ class SiteRules:
         if listed is None or listed.isEmpty():
             rows = rows.where("false")
         else:
-            listed = listed.select(F.col("url").alias("listed")).distinct()
+            listed = listed.select(url_parts("url")["url"].alias("listed")).distinct()  # compared as pages' addresses are
             rows = rows.join(listed, F.col("url") == F.col("listed"), "left_anti").join(listed, F.col("final_url") == F.col("listed"), "left_anti")
         return rows.select("seq", "url", F.lit("indexable, but not in the sitemap").alias("detail"), F.lit(0).alias("ord"))
 
@@ -153,19 +153,20 @@ class SiteRules:
     def link_targets(self, sources: DataFrame, kind: str, given: str) -> DataFrame:
         """Distinct links of each page whose target is broken, blocked or redirects."""
         inside = given == "internal"
-        found = links(sources).where(F.col("internal") == F.lit(inside)).groupBy("seq", "url", "href").agg(F.min("pos").alias("ord"))
-        hit = found.join(self.resolved, F.col("href") == F.col("address")).where("not t_blocked")
+        # The few targets at fault are chosen first, so that only links to them are grouped.
+        target = self.resolved.where("not t_blocked")
         broken = F.coalesce((F.col("t_status") == 0) | (F.col("t_status") >= 400), F.lit(True))
         if kind == "brokenLinks":
-            hit = hit.where(broken if inside else broken & ~is_true(F.col("t_status") == 403))
+            target = target.where(broken if inside else broken & ~is_true(F.col("t_status") == 403))
             detail = _text("link to ", F.col("href"), ": ", _state())
         elif kind == "blockedLinks":
-            hit = hit.where("t_status = 403")
+            target = target.where("t_status = 403")
             detail = _text("link to ", F.col("href"), " refuses automatic requests (403)")
         else:
-            hit = hit.where(F.col("t_redirected") & (F.col("href") != F.col("t_final")))
+            target = target.where(F.col("t_redirected") & (F.col("address") != F.col("t_final")))
             detail = _text("link to ", F.col("href"), " redirects to ", F.col("t_final"))
-        return hit.select("seq", "url", detail.alias("detail"), "ord")
+        hit = links(sources).where(F.col("internal") == F.lit(inside)).join(target, F.col("href") == F.col("address"))
+        return hit.groupBy("seq", "url", "href", detail.alias("detail")).agg(F.min("pos").alias("ord")).select("seq", "url", "detail", "ord")
 
 
 __all__ = ["SiteContext", "SiteRules", "target_columns"]

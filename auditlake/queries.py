@@ -94,6 +94,10 @@ r AS (SELECT a.address, o.seq AS t_seq, o.url AS t_url, o.final_url AS t_final,
 """
 
 
+def overlay_sql() -> str:
+    return _cte()
+
+
 def overlay(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
     """Page rows with the test attributes, in the schema that rules expect."""
     base = spark.read.parquet(f"{sf_dir}/pages.parquet").select((F.col("page_id") + shift).alias("i"), F.col("page_id").alias("seq"))
@@ -365,19 +369,33 @@ def _diff(part: str) -> Query:
 
 _add("diff_added", f"{_TWO} SELECT key AS url FROM new WHERE key NOT IN (SELECT url FROM old)", _diff("added"))
 _add("diff_removed", f"{_TWO} SELECT url FROM old WHERE url NOT IN (SELECT key FROM new)", _diff("removed"))
+
+
+def _json(value: str) -> str:
+    """DuckDB: the JSON text of a string."""
+    return f"CASE WHEN {value} IS NULL THEN 'null' ELSE concat('\"', {value}, '\"') END"
+
+
+def _json_list(value: str) -> str:
+    return f"concat('[\"', coalesce({value}, ''), '\"]')"
+
+
 _changed = " UNION ALL ".join(
     f"SELECT key AS url, '{field}' AS field, {before} AS before, {after} AS after FROM p WHERE {before} IS DISTINCT FROM {after}"
     for field, before, after in (
         ("status", "CAST(o_status AS VARCHAR)", "CAST(status AS VARCHAR)"),
         ("redirectCount", "CASE WHEN o_redirected THEN '1' ELSE '0' END", "CASE WHEN redirected THEN '1' ELSE '0' END"),
-        ("title", "coalesce(concat('\"', o_st, '\"'), 'null')", "coalesce(concat('\"', st, '\"'), 'null')"),
+        ("title", _json("o_st"), _json("st")),
         ("noindex", "CAST(o_noindex AS VARCHAR)", "CAST(noindex AS VARCHAR)"),
+        ("metaDescription", _json("o_md"), _json("meta_description")),
+        ("canonical", _json("o_canonical"), _json("canonical")),
+        ("h1", _json_list("o_st"), _json_list("st")),
     )
 )
 _add(
     "diff_changes",
-    f"{_TWO}, p AS (SELECT new.*, old.status AS o_status, old.redirected AS o_redirected, old.st AS o_st, old.noindex AS o_noindex FROM new JOIN old ON key = old.url WHERE NOT new.robots_blocked AND NOT old.robots_blocked) {_changed}".replace("coalesce(concat('\"', o_st, '\"'), 'null')", "CASE WHEN o_st IS NULL THEN 'null' ELSE concat('\"', o_st, '\"') END").replace("coalesce(concat('\"', st, '\"'), 'null')", "CASE WHEN st IS NULL THEN 'null' ELSE concat('\"', st, '\"') END"),
-    lambda s, d: D.changed_fields(*_two(s, d)).where("field in ('status', 'redirectCount', 'title', 'noindex')"),
+    f"{_TWO}, p AS (SELECT new.*, old.status AS o_status, old.redirected AS o_redirected, old.st AS o_st, old.noindex AS o_noindex, old.meta_description AS o_md, old.canonical AS o_canonical FROM new JOIN old ON key = old.url WHERE NOT new.robots_blocked AND NOT old.robots_blocked) {_changed}",
+    lambda s, d: D.changed_fields(*_two(s, d)),
 )
 
 
@@ -455,11 +473,15 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    from . import markup_queries
+
+    return _queries | markup_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    from . import markup_queries
+
+    return _sql | markup_queries.oracle_sql()
 
 
 __all__ = ["Range", "flagship", "native_pages", "oracle_sql", "overlay", "queries"]
