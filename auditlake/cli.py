@@ -30,7 +30,7 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("-c", "--config")
         sub.add_argument("--db")
         if name == "crawl":
-            sub.add_argument("--responses", help="recorded responses (Parquet), always needed: the command fetches no pages itself")
+            sub.add_argument("--responses", help="recorded responses (Parquet); without them pages are fetched")
             sub.add_argument("--max-pages", type=_number)
             sub.add_argument("--max-depth", type=_number)
             sub.add_argument("--fail-on", choices=SEVERITIES)
@@ -109,14 +109,13 @@ def _run(args, spark) -> int:
 
 
 def _crawl(args, config, rules, store, spark) -> int:
-    from .operators.crawl import Scope, crawl, recorded_robots
+    from .operators.crawl import Scope, crawl
     from .operators.site import SiteContext
     from .sources.inputs import seeds
+    from .sources.live import LiveResponses, Manners
 
     if config is None:
         raise ValueError("crawl needs -c")
-    if not args.responses:
-        raise ValueError("crawl needs --responses; record them with sources.inputs.live_responses")
     stopped: list[int] = []
 
     def interrupt(*_):
@@ -132,10 +131,12 @@ def _crawl(args, config, rules, store, spark) -> int:
         s = config.scope
         scope = Scope(s.hosts, s.include, s.exclude, s.maxDepth, s.maxPages, s.followLinks, s.checkExternal, s.maxExternal, config.render.mode, config.politeness.respectRobots)
         run_id = store.start_run(config.name, config)
-        responses = spark.read.parquet(args.responses)
-        robots = recorded_robots(made, responses, scope) if scope.respect_robots else None
-        pages, aborted = crawl(spark, made, responses, scope, robots, config.politeness.userAgent, should_stop=lambda: bool(stopped))
-        store.save_pages(run_id, pages)
+        p = config.politeness
+        responses = spark.read.parquet(args.responses) if args.responses else LiveResponses(Manners(p.concurrency, p.perHost, p.delayMs, p.timeoutMs, p.userAgent))
+        # Each level is saved as it ends, so an interrupted run keeps what it has.
+        pages, aborted = crawl(spark, made, responses, scope, None, p.userAgent, should_stop=lambda: bool(stopped), on_level=lambda level, _: store.save_pages(run_id, level))
+        store.save_pages(run_id, pages.where("external"))
+        pages = store.pages(run_id)
         site = SiteContext(spark.createDataFrame([(u,) for u in listed], "url string") if listed else None, s.followLinks)
         findings = run_rules(pages, rules, site)
         store.finish_run(run_id, findings, aborted)

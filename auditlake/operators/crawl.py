@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.html import needs_render, snapshot
-from ..functions.urls import glob_pattern, hostname_of, is_html, is_text, normalize_url, path_of, site_key
+from ..functions.urls import glob_pattern, hostname_of, is_html, is_text, normalize_url, path_of, site_key, site_key_text
 from ..schema import PAGE, SNAPSHOT
 from ..sources.robots import allowed
 
@@ -47,16 +47,22 @@ def _start(seeds: DataFrame) -> DataFrame:
 
 
 def _hosts(start: DataFrame, scope: Scope) -> list[str]:
-    """The crawl's sites: those of the scope and of the seeds."""
-    return sorted({*(h.removeprefix("www.") for h in scope.hosts), *(r[0] for r in start.select(site_key(hostname_of(F.col("url")))).distinct().collect())})
+    """The crawl's sites: those of the scope, or of the seeds where it names none."""
+    return sorted({site_key_text(h) for h in scope.hosts} or {r[0] for r in start.select(site_key(hostname_of(F.col("url")))).distinct().collect()})
 
 
-def recorded_robots(seeds: DataFrame, responses: DataFrame, scope: Scope) -> dict[str, str]:
-    """Robots text by origin, for the crawl's sites: the 2xx answers of /robots.txt, behind redirects too."""
-    mine = F.coalesce(site_key(hostname_of(F.col("url"))).isin(*_hosts(_start(seeds), scope)), F.lit(False))
-    asked = responses.where(F.col("url").rlike("^[a-z]+://[^/?#]+/robots[.]txt$") & mine).where("upper(method) = 'GET' and attempt = 1").select("url").distinct()
+def robots_texts(addresses: DataFrame, responses: DataFrame | Callable[[DataFrame, str], DataFrame], known: dict[str, str | None]) -> dict[str, str | None]:
+    """Robots texts of the origins of ``addresses`` (url) that ``known`` lacks: 2xx answers, behind redirects too, else None.
+
+    One small row for each origin, of which a crawl has few.
+    """
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    new = [r[0] for r in addresses.select(origin.alias("origin")).distinct().collect() if r[0] not in known]
+    if not new:
+        return {}
+    asked = addresses.sparkSession.createDataFrame([(f"{o}/robots.txt",) for o in sorted(new)], "url string")
     got = follow_redirects(asked, responses).where("status between 200 and 299 and body is not null")
-    return {r.url.removesuffix("/robots.txt"): r.body for r in got.select("url", "body").collect()}
+    return dict.fromkeys(new) | {r.url.removesuffix("/robots.txt"): r.body for r in got.select("url", "body").collect()}
 
 
 def in_scope(url: Column, hosts: list[str], scope: Scope) -> Column:
@@ -74,9 +80,10 @@ def _resolved(target: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([normalize_url(t, b) if isinstance(t, str) and isinstance(b, str) else None for t, b in zip(target, base, strict=True)], dtype=object)
 
 
-def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "GET", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def follow_redirects(requests: DataFrame, responses: DataFrame | Callable[[DataFrame, str], DataFrame], method: str = "GET", keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The final response of every requested url (column ``url``; others are kept).
 
+    ``responses`` is a table, or a callable that fetches the addresses it is given.
     Each round joins the open requests with the responses and is written to
     shared storage, so the rounds stop as soon as no chain is open: eleven at
     most.  A redirect without target ends the chain; a loop, an eleventh
@@ -84,16 +91,23 @@ def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "G
     the response's own ``error``) are errors.
     """
     keep = keep or _kept
-    answer = responses.where(F.upper("method") == method).where("attempt = 1")
+    live = callable(responses)
     target = F.when(F.col("status").isin(*REDIRECTS), _resolved(F.col("headers").getItem("location"), F.col("url")))
     # Rounds move addresses only; bodies are joined once, to the last answer of each chain.
     told = F.col("error") if "error" in responses.columns else F.lit(None).cast("string")
-    moves = keep(answer.select(F.col("url").alias("r_url"), "status", target.alias("target"), "time_ms", told.alias("told")), "redirect-moves")
+    steps = [F.col("url").alias("r_url"), "status", target.alias("target"), "time_ms", told.alias("told")]
+    if not live:
+        answer = responses.where(F.upper("method") == method).where("attempt = 1")
+        moves = keep(answer.select(*steps), "redirect-moves")
+    answers: list[DataFrame] = []
     extra = list(requests.columns)
     elapsed = F.col("elapsed") + F.coalesce("time_ms", F.lit(0))
     open_ = requests.withColumns({"at": F.col("url"), "redirects": F.array().cast("array<struct<url:string,status:int>>"), "elapsed": F.lit(0).cast("long")})
     done: list[DataFrame] = []
     for hop in range(MAX_HOPS + 1):
+        if live:
+            answers.append(keep(responses(open_.select(F.col("at").alias("url")).distinct(), method), "fetched"))
+            moves = answers[-1].select(*steps)
         met = open_.join(moves, F.col("at") == F.col("r_url"), "left")
         seen = F.array_contains(F.transform("redirects", lambda h: h["url"]), F.col("target")) | (F.col("target") == F.col("at"))
         fault = F.when(F.col("status").isNull(), "no response").when(F.col("status") == 0, F.coalesce("told", F.lit("no answer"))).when(F.col("target").isNull(), None).when(seen, "redirect loop").when(F.lit(hop == MAX_HOPS), "too many redirects")
@@ -105,10 +119,28 @@ def follow_redirects(requests: DataFrame, responses: DataFrame, method: str = "G
             break
         open_ = going.select(*extra, F.col("target").alias("at"), F.array_append("redirects", F.struct(F.col("at").alias("url"), F.col("status").cast("int").alias("status"))).alias("redirects"), elapsed.alias("elapsed"))
     ended = reduce(DataFrame.unionByName, done)
+    if live:
+        # An address may be asked for in several rounds; one of its answers is enough.
+        answer = reduce(DataFrame.unionByName, answers).dropDuplicates(["url"])
     content = answer.select(F.col("url").alias("c_final"), "content_type", "headers", "body")
     return ended.join(content, (F.col("final_url") == F.col("c_final")) & F.col("error").isNull(), "left").drop("c_final")
 
 
+def numbered(rows: DataFrame, order: str, first: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Adds ``seq``: ``first``, ``first`` + 1 and so on in order.
+
+    Ranges of the order are sorted in tasks of their own; only their row counts
+    meet on the driver, one number for each.
+    """
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = keep(ranged, "crawl-ranges")
+    begins, at = {}, first
+    for number, many in sorted(ranged.groupBy("_range").count().collect()):
+        begins[number], at = at, at + many
+    begin = F.element_at(F.create_map(*(F.lit(x) for pair in begins.items() for x in pair)), F.col("_range")) if begins else F.lit(first)
+    return ranged.withColumn("seq", (begin + F.col("_row")).cast("long")).drop("_range", "_row")
+
+
 def take_budget(candidates: DataFrame, budget: int, order: list) -> DataFrame:
     """The first ``budget`` candidates in crawl order."""
     return candidates.orderBy(*order).limit(max(0, budget))
@@ -133,13 +165,14 @@ def pages_of(fetched: DataFrame, render: str = "auto") -> DataFrame:
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGE))
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Scope, robots: dict[str, str] | None = None, agent: str = "*", should_stop: Callable[[], bool] = lambda: False, on_level: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, bool]:
+def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame | Callable[[DataFrame, str], DataFrame], scope: Scope, robots: dict[str, str] | None = None, agent: str = "*", should_stop: Callable[[], bool] = lambda: False, on_level: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, bool]:
     """Breadth-first crawl: (pages, whether it was aborted).
 
     ``seeds``: url, source, pos.  ``responses``: url, method, attempt, status,
-    content_type, headers, body, time_ms and perhaps rendered_html.  ``robots``:
-    text by origin, bounded by the crawl's hosts, read as ``agent``.  Seeds pass the page budget but
-    use it up; links of 2xx pages join the next level while depth and budget
+    content_type, headers, body, time_ms and perhaps rendered_html, or a callable
+    that fetches (see sources.live).  ``robots``: text by origin, read as
+    ``agent``; where it is None, each level asks ``responses`` for the texts of
+    its new origins.  Seeds pass the page budget but use it up; links of 2xx pages join the next level while depth and budget
     last.  A page whose redirect leads to a known address keeps no content.
     ``keep`` writes a level to shared storage (default: the operator's own).
     """
@@ -148,6 +181,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Sc
     start = _start(seeds)
     hosts = _hosts(start, scope)
     level = start.select("url", F.lit(None).cast("string").alias("found_on"), F.col("source").alias("seed_source"), F.struct(F.lit(0).cast("long").alias("a"), F.col("place.rank").cast("long").alias("b"), F.col("place.pos").cast("long").alias("c")).alias("place"))
+    texts: dict[str, str | None] = dict(robots or {})
     known: DataFrame | None = None
     parts: list[DataFrame] = []
     accepted = done = 0
@@ -156,15 +190,20 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame, scope: Sc
         if should_stop():
             aborted = True
             break
-        level = keep(level.withColumn("seq", F.lit(done) + F.row_number().over(Window.orderBy("place")) - 1), "crawl-level")
+        level = numbered(level, "place", done, keep)
         count = level.count()
         if not count:
             break
         accepted, done = accepted + count, done + count
-        may = allowed(robots or {}, F.col("url"), agent) if scope.respect_robots else F.lit(True)
+        if scope.respect_robots and robots is None:
+            fresh_texts = robots_texts(level, responses, texts)
+            texts |= fresh_texts
+            if hasattr(responses, "robots"):
+                responses.robots({k: v for k, v in fresh_texts.items() if v})
+        may = allowed({k: v for k, v in texts.items() if v}, F.col("url"), agent) if scope.respect_robots else F.lit(True)
         level = level.withColumn("blocked", ~may)
         fetched = follow_redirects(level.where("not blocked"), responses, keep=keep)
-        if "rendered_html" in responses.columns:
+        if not callable(responses) and "rendered_html" in responses.columns:
             fetched = fetched.join(responses.where("attempt = 1 and method = 'GET'").select(F.col("url").alias("v_url"), "rendered_html"), F.col("final_url") == F.col("v_url"), "left").drop("v_url")
         # A redirect's target that is known, or that an earlier page of this level claims, keeps its content there.
         claims = level.select(F.col("url").alias("c_url"), F.col("seq").alias("c_seq"))
@@ -228,14 +267,20 @@ def check_external(pages: DataFrame, responses: DataFrame, most: int, first_seq:
     targets = external_targets(pages)
     visited = pages.select(F.explode(F.array_distinct(F.array("url", "final_url"))).alias("address")).distinct()
     chosen = targets.join(visited, F.col("url") == F.col("address"), "left_anti").orderBy("place").limit(most)
-    chosen = chosen.withColumn("seq", (F.lit(first_seq) + F.row_number().over(Window.orderBy("place")) - 1).cast("long")).select("url", "found_on", "seq")
+    chosen = numbered(chosen, "place", first_seq, _kept).select("url", "found_on", "seq")
     head = follow_redirects(chosen, responses, "HEAD")
     again = F.col("status").isin(405, 501, 0)
     got = follow_redirects(head.where(again).select("url", "found_on", "seq"), responses, "GET")
     one = head.where(~again).unionByName(got)
     wait = F.expr("try_cast(headers['retry-after'] as double)")
     limited = (F.col("status") == 429) & F.coalesce((wait > 0) & (wait <= 30), F.lit(False))
-    second = responses.where("attempt = 2").select(F.col("url").alias("s_url"), F.col("status").alias("s_status")).dropDuplicates(["s_url"])
+    if callable(responses):
+        one = _kept(one, "crawl-checked")
+        later = responses(one.where(limited).select(F.col("final_url").alias("url"), wait.alias("wait_s")).dropDuplicates(["url"]), "GET")
+        later = _kept(later, "crawl-again")
+    else:
+        later = responses.where("attempt = 2")
+    second = later.select(F.col("url").alias("s_url"), F.col("status").alias("s_status")).dropDuplicates(["s_url"])
     one = one.join(second, F.col("final_url") == F.col("s_url"), "left").withColumn("status", F.when(limited & F.col("s_status").isNotNull(), F.col("s_status")).otherwise(F.col("status")))
     rows = one.withColumns({"depth": F.lit(-1), "external": F.lit(True), "robots_blocked": F.lit(False), "raw": F.lit(None).cast(SNAPSHOT), "rendered": F.lit(None).cast(SNAPSHOT), "render_error": F.lit(None), "duplicate_of": F.lit(None), "seed_source": F.lit(None)})
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGE))

@@ -6,14 +6,14 @@ import gzip
 import time
 import urllib.error
 import urllib.request
-from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
+
 SITEMAP_CAP = 50_000
 RESPONSES = "url string, method string, attempt int, status int, content_type string, headers map<string,string>, body string, time_ms long, error string"
 
@@ -54,7 +54,7 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, urls: list[str] = (), files: list[str] = (), sitemaps: list[str] = (), read: Callable[[str], bytes] | None = None) -> tuple[DataFrame, list[str], list[str]]:
-    """(seeds, sitemap addresses, warnings): a source that fails is warned about and left out."""
+    """(seeds, normalized sitemap addresses, warnings): a source that fails and a text that is no address are warned about and left out."""
     rows, listed, warnings = [(u, "url", i) for i, u in enumerate(urls)], [], []
     made = []
     for path in files:
@@ -70,6 +70,8 @@ def seeds(spark: SparkSession, urls: list[str] = (), files: list[str] = (), site
         except Exception as problem:
             warnings.append(f"{place}: {problem}")
     rows += [(u, "sitemap", i) for i, u in enumerate(listed)]
+    warnings += [f"not an address, left out: {u}" for u, _, _ in rows if normalize_url(u) is None]
+    listed = [n for u in listed if (n := normalize_url(u)) is not None]
     frame = spark.createDataFrame(rows, "url string, source string, pos long")
     for other in made:
         frame = frame.unionByName(other)
@@ -105,34 +107,3 @@ def fetch(url: str, method: str = "GET", timeout: float = 20, agent: str = "audi
         textual = any(t in kind for t in ("text/", "html", "xml", "json"))
         body = answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace") if method == "GET" and textual else None
         return url, method, 1, answer.status, kind, headers, body, round(1000 * (time.monotonic() - began)), None
-
-
-def paced(hosts: dict[str, list[str]], per_host_delay: float, fetch_one: Callable[[str], tuple], clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
-    """Round-robin over hosts, first in first out within each, with a gap between two starts at a host."""
-    queues = {h: list(urls) for h, urls in hosts.items() if urls}
-    ready = dict.fromkeys(queues, 0.0)
-    while queues:
-        order = sorted(queues, key=lambda h: ready[h])
-        host = order[0]
-        wait = ready[host] - clock()
-        if wait > 0:
-            sleep(wait)
-        ready[host] = clock() + per_host_delay
-        yield fetch_one(queues[host].pop(0))
-        if not queues[host]:
-            del queues[host]
-
-
-def live_responses(urls: DataFrame, delay_ms: int = 250, timeout: float = 20, method: str = "GET") -> DataFrame:
-    """Fetch each url once: a host's addresses stay in one task, which serves its hosts in turn."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hosts: dict[str, list[str]] = defaultdict(list)
-        for part in parts:
-            for url, host in zip(part["url"], part["host"], strict=True):
-                hosts[host].append(url)
-        for row in paced(hosts, delay_ms / 1000, lambda u: fetch(u, method, timeout)):
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in RESPONSES.split(", ")])
-
-    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    return urls.select("url", host.alias("host")).repartition("host").mapInPandas(run, RESPONSES)
