@@ -51,10 +51,11 @@ def parser() -> argparse.ArgumentParser:
 def _write(args, pages, findings, rules, examples: int, aborted: bool = False) -> None:
     summary = reports.summarize(pages, findings, rules)
     print(reports.as_text(summary, examples, aborted))
-    made = {"md": lambda: reports.as_markdown(summary, aborted=aborted), "json": lambda: reports.as_json(summary, findings), "html": lambda: reports.as_html(summary, pages, findings, aborted=aborted), "sarif": lambda: reports.as_sarif(findings, rules)}
-    for kind, build in made.items():
+    made = {"md": lambda: [reports.as_markdown(summary, aborted=aborted)], "json": lambda: reports.json_parts(summary, findings), "html": lambda: reports.html_parts(summary, pages, findings, aborted=aborted), "sarif": lambda: reports.sarif_parts(findings, rules)}
+    for kind, parts in made.items():
         if path := getattr(args, kind):
-            Path(path).write_text(build())
+            with Path(path).open("w") as file:
+                file.writelines(parts())
     if args.annotations:
         print(reports.annotations(findings))
 

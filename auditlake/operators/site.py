@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,14 +37,16 @@ def _text(*parts) -> Column:
 class SiteRules:
     """Shares the resolved addresses and links between the rules of one evaluation."""
 
-    def __init__(self, pages: DataFrame, site: SiteContext):
-        self.pages, self.site = pages, site
+    def __init__(self, pages: DataFrame, site: SiteContext, keep: Callable[[DataFrame, str], DataFrame] | None = None):
+        """``keep`` writes what several rules read."""
+        self.pages, self.site, self.keep = pages, site, keep
         self._resolved: DataFrame | None = None
 
     @property
     def resolved(self) -> DataFrame:
         if self._resolved is None:
-            self._resolved = addresses(self.pages)
+            found = addresses(self.pages)
+            self._resolved = self.keep(found, "addresses") if self.keep else found
         return self._resolved
 
     def run(self, rule: Rule, order: int) -> DataFrame:

@@ -69,7 +69,11 @@ def json_text(field: Field) -> Column:
 def show(field: Field) -> Column:
     """Short form for messages: texts in quotes, others as JSON, cut after 87 units."""
     whole = F.coalesce(F.concat(F.lit('"'), field.column, F.lit('"')), F.lit("null")) if field.kind == "string" else json_text(field)
-    return F.when(units(whole) > 90, F.concat(F.substring(whole, 1, 87), F.lit("…"))).otherwise(whole)
+    wide = F.encode(whole, "UTF-16BE")
+    # A pair of units is one character: the first of a pair at the cut goes too.
+    halved = F.hex(F.substring(wide, 173, 1)).between("D8", "DB")
+    cut = F.decode(F.substring(wide, F.lit(1), F.when(halved, 172).otherwise(174)), "UTF-16BE")
+    return F.when(units(whole) > 90, F.concat(cut, F.lit("…"))).otherwise(whole)
 
 
 def same(field: Field, value: Any) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.site import SiteContext, SiteRules
+from ..sources.store import scratch_table
 from .checks import finding_of
 from .model import Rule, RuleSet
 from .plugins import page_findings, site_findings
@@ -25,10 +26,13 @@ def page_rule_findings(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 def run_rules(pages: DataFrame, rules: RuleSet, site: SiteContext | None = None) -> DataFrame:
     """rule_id, severity, url, message, and part, seq, rule_seq, ord, which give the findings' order.
 
-    ``pages`` is read once for the page rules and once for each site rule;
-    persist it where it is costly.
+    Where several site rules read them, pages and resolved addresses are
+    written to shared storage once, so no page is extracted again.
     """
     parts: list[DataFrame] = []
+    several = sum(r.scope == "site" for r in rules.rules) > 1
+    if several:
+        pages = scratch_table(pages, "rule-pages")
     page = [r for r in rules.rules if r.scope == "page"]
     if page:
         parts.append(page_rule_findings(pages, page))
@@ -37,7 +41,7 @@ def run_rules(pages: DataFrame, rules: RuleSet, site: SiteContext | None = None)
         if plugin.page_columns or plugin.check_page:
             parts.append(page_findings(pages, plugin, count))
             count += 1
-    evaluation = SiteRules(pages, site or SiteContext())
+    evaluation = SiteRules(pages, site or SiteContext(), scratch_table if several else None)
     for rule in rules.rules:
         if rule.scope == "site":
             parts.append(evaluation.run(rule, count))

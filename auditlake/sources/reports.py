@@ -1,13 +1,16 @@
-"""Reports: text, Markdown, JSON, SARIF, HTML and CI annotations, made from bounded aggregates."""
+"""Reports: text, Markdown, JSON, SARIF, HTML and CI annotations.
+
+Totals come from aggregates; findings are streamed into the files that list them all.
+"""
 
 from __future__ import annotations
 
 import html
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..operators import summary as S
@@ -59,23 +62,52 @@ def as_markdown(summary: dict, examples: int = 50, aborted: bool = False) -> str
     return "\n".join(lines)
 
 
+def _found(findings: DataFrame) -> Iterator[Row]:
+    """Findings in order, one partition at a time, so the driver never holds them all."""
+    ordered = S.with_order(findings).orderBy("ordinal").select("rule_id", "severity", "url", "message", S.fingerprint().alias("print"))
+    return ordered.toLocalIterator()
+
+
+def _listed(items: Iterator[Any], text: Callable[[Any], str]) -> Iterator[str]:
+    """A JSON list in parts."""
+    lead = "["
+    for item in items:
+        yield lead + text(item)
+        lead = ",\n"
+    yield "[]" if lead == "[" else "]"
+
+
+def json_parts(summary: dict, findings: DataFrame) -> Iterator[str]:
+    """Summary without the rules' examples, and all findings, in parts of a JSON text."""
+    dump = lambda v: json.dumps(v, ensure_ascii=False)
+    yield f'{{"summary": {dump({k: v for k, v in summary.items() if k != "rules"})},\n"findings": '
+    yield from _listed(_found(findings), lambda r: dump({"rule_id": r.rule_id, "severity": r.severity, "url": r.url, "message": r.message}))
+    yield "}"
+
+
 def as_json(summary: dict, findings: DataFrame) -> str:
-    """Summary without the rules' examples, and all findings; for many use ``findings.write.json``."""
-    rows = [r.asDict() for r in S.with_order(findings).orderBy("ordinal").select("rule_id", "severity", "url", "message").collect()]
-    return json.dumps({"summary": {k: v for k, v in summary.items() if k != "rules"}, "findings": rows}, ensure_ascii=False, indent=2)
+    return "".join(json_parts(summary, findings))
 
 
-def as_sarif(findings: DataFrame, rules: RuleSet | None = None) -> str:
+def sarif_parts(findings: DataFrame, rules: RuleSet | None = None) -> Iterator[str]:
     listed = {r.id: {"id": r.id, "shortDescription": {"text": r.description or r.id}, "defaultConfiguration": {"level": _LEVELS[r.severity]}} for r in (rules.rules if rules else [])}
-    results = []
-    for r in S.with_order(findings).orderBy("ordinal").select("rule_id", "severity", "url", "message", S.fingerprint().alias("print")).collect():
+    for r in findings.select("rule_id").distinct().orderBy("rule_id").collect():  # a few names
         listed.setdefault(r.rule_id, {"id": r.rule_id})
-        result: dict[str, Any] = {"ruleId": r.rule_id, "level": _LEVELS[r.severity], "message": {"text": f"{r.url}: {r.message}" if r.url else r.message}, "partialFingerprints": {"ruleAndUrl": r.print}}
+
+    def result(r: Row) -> str:
+        made: dict[str, Any] = {"ruleId": r.rule_id, "level": _LEVELS[r.severity], "message": {"text": f"{r.url}: {r.message}" if r.url else r.message}, "partialFingerprints": {"ruleAndUrl": r.print}}
         if r.url:
-            result["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": r.url}}}]
-        results.append(result)
-    run = {"tool": {"driver": {"name": "auditlake", "rules": list(listed.values())}}, "results": results}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, ensure_ascii=False, indent=2)
+            made["locations"] = [{"physicalLocation": {"artifactLocation": {"uri": r.url}}}]
+        return json.dumps(made, ensure_ascii=False)
+
+    tool = json.dumps({"driver": {"name": "auditlake", "rules": list(listed.values())}}, ensure_ascii=False)
+    yield f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {tool},\n"results": '
+    yield from _listed(_found(findings), result)
+    yield "}]}"
+
+
+def as_sarif(findings: DataFrame, rules: RuleSet | None = None) -> str:
+    return "".join(sarif_parts(findings, rules))
 
 
 def annotations(findings: DataFrame, most: int = 50) -> str:
@@ -106,24 +138,28 @@ def inline_json(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False).replace("<", "\\u003c")
 
 
-def as_html(summary: dict, pages: DataFrame, findings: DataFrame, title: str = "Site audit", aborted: bool = False) -> str:
-    """One self-contained page: totals, rules, findings (sortable, filtered, 500 at a time) and pages."""
+def html_parts(summary: dict, pages: DataFrame, findings: DataFrame, title: str = "Site audit", aborted: bool = False) -> Iterator[str]:
+    """One self-contained page in parts: totals, rules, findings (sortable, filtered, 500 at a time) and pages."""
     esc = lambda v: html.escape(str(v), quote=True)
-    rows = [[r.severity, r.rule_id, r.url, r.message] for r in S.with_order(findings).orderBy("ordinal").collect()]
-    counts = S.findings_per_page(pages, findings).join(pages.select("url", "status", "external", "seq"), "url").orderBy("seq").collect()
     rule_rows = "".join(f"<tr class={esc(r['severity'])}><td>{esc(r['rule_id'])}<td>{esc(r['severity'])}<td>{r['n']}<td>{esc(r['description'])}" for r in summary["rules"])
-    page_rows = "".join(f"<tr><td>{esc(r.url)}<td>{r.status}<td>{'yes' if r.external else ''}<td>{r.n}" for r in counts)
-    parts = [f"<!doctype html><html lang=en><meta charset=utf-8><title>{esc(title)}</title><style>{_STYLE}</style><h1>{esc(title)}</h1>"]
-    parts += [f"<p>{esc(line)}</p>" for line in _head(summary)]
+    yield f"<!doctype html><html lang=en><meta charset=utf-8><title>{esc(title)}</title><style>{_STYLE}</style><h1>{esc(title)}</h1>"
+    yield from (f"<p>{esc(line)}</p>" for line in _head(summary))
     if aborted:
-        parts.append("<p><b>The run was aborted; results are partial.</b></p>")
-    if not rows:
-        parts.append("<p>Nothing was found.</p>")
-    parts.append(f"<h2>Rules</h2><table><tr><th>Rule<th>Severity<th>Findings<th>Meaning{rule_rows}</table>")
-    parts.append("<h2>Findings</h2><p><input id=find placeholder=Filter> <span id=note></span></p><table id=found><thead><tr><th>Severity<th>Rule<th>Page<th>Finding</thead><tbody id=rows></tbody></table>")
-    parts.append(f"<h2>Pages</h2><table><tr><th>Page<th>Status<th>External<th>Findings{page_rows}</table>")
-    parts.append(f'<script id=data type="application/json">{inline_json(rows)}</script><script>{_SCRIPT}</script></html>')
-    return "".join(parts)
+        yield "<p><b>The run was aborted; results are partial.</b></p>"
+    if not summary["rules"]:
+        yield "<p>Nothing was found.</p>"
+    yield f"<h2>Rules</h2><table><tr><th>Rule<th>Severity<th>Findings<th>Meaning{rule_rows}</table>"
+    yield "<h2>Findings</h2><p><input id=find placeholder=Filter> <span id=note></span></p><table id=found><thead><tr><th>Severity<th>Rule<th>Page<th>Finding</thead><tbody id=rows></tbody></table>"
+    yield "<h2>Pages</h2><table><tr><th>Page<th>Status<th>External<th>Findings"
+    counts = S.findings_per_page(pages, findings).join(pages.select("url", "status", "external", "seq"), "url").orderBy("seq")
+    yield from (f"<tr><td>{esc(r.url)}<td>{r.status}<td>{'yes' if r.external else ''}<td>{r.n}" for r in counts.toLocalIterator())
+    yield '</table><script id=data type="application/json">'
+    yield from _listed(_found(findings), lambda r: inline_json([r.severity, r.rule_id, r.url, r.message]))
+    yield f"</script><script>{_SCRIPT}</script></html>"
+
+
+def as_html(summary: dict, pages: DataFrame, findings: DataFrame, title: str = "Site audit", aborted: bool = False) -> str:
+    return "".join(html_parts(summary, pages, findings, title, aborted))
 
 
 def diff_lines(diff, before: str, after: str, markdown: bool = False, aborted: bool = False) -> Iterator[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import datetime as dt
 import json
+import re
 import tempfile
 import uuid
 from typing import Any
@@ -18,8 +19,12 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and one in the warehouse on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="audit-")).rstrip("/")
+    if not named and not (named := spark.sparkContext.getCheckpointDir()):
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        named = tempfile.mkdtemp(prefix="audit-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    return named.rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -73,3 +73,13 @@ def test_globs_and_robots():
     text = "User-agent: *\nDisallow: /p\nAllow: /p/ok$\nCrawl-delay: 1.5\nUser-agent: bad\nDisallow: /"
     assert not is_allowed(text, "/p/x") and is_allowed(text, "/p/ok") and is_allowed(text, "/") and not is_allowed(text, "/", "bad")
     assert delay_ms(text) == 1500
+
+
+def test_shown_values_are_cut_by_utf16_units(spark):
+    from auditlake.functions.fields import Field
+    from auditlake.plans.checks import show
+
+    texts = ["x" * 88, "x" * 89, "🙂" * 60, "x" + "🙂" * 60, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    shown = [r.v for r in rows.orderBy("i").select(show(Field("string", rows["t"])).alias("v")).collect()]
+    assert shown == [f'"{"x" * 88}"', f'"{"x" * 86}…', f'"{"🙂" * 43}…', f'"x{"🙂" * 42}…', "null"]
