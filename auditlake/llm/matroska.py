@@ -225,7 +225,8 @@ def feature(data: bytes, packets: Packets) -> str:
     for row in packets.rows:
         lacings[row[5]] += 1
     last = max((row[1] for row in packets.rows), default=0)
-    seekable = sum(place in set(packets.clusters) for _, _, place in packets.cues)
+    clusters = set(packets.clusters)
+    seekable = sum(place in clusters for _, _, place in packets.cues)
     total, squares = int(wave.sum(dtype=np.int64)), int(np.square(wave, dtype=np.int64).sum())
     return f"tracks={len(packets.tracks)};clusters={len(packets.clusters)};frames={len(packets.rows)};lacing={','.join(map(str, lacings))};cues={seekable};last_ms={last // 1_000_000};sum={total};squares={squares}"
 
@@ -244,7 +245,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                     if data is None:
                         raise ValueError("null file")
                     rows = [(media_id, i, track, stamp, start, end, key, lacing, None) for i, (track, stamp, start, end, key, lacing, _) in enumerate(parse(data).rows)]
-                except (ValueError, IndexError) as problem:
+                except (ValueError, IndexError, RecursionError) as problem:
                     rows = [(media_id, None, None, None, None, None, None, None, str(problem) or "truncated")]
                 for row in rows:
                     for column, value in zip(out, row, strict=True):

@@ -4,8 +4,9 @@ Whole texts are searched.  A span of any kind has to hold a digit or an ``@`` to
 be accepted, so the network reads the stretches around these characters, with
 two windows of context on either side, wherever they are in a text.  A stretch
 is cut into overlapping windows; their emissions are averaged where windows
-overlap and one Viterbi pass over the whole stretch decides.  The network is trained in
-numpy from labelled spans that a seeded generator writes.
+overlap and one Viterbi pass over the whole stretch decides.  The network is
+trained in numpy from labelled spans that a seeded generator writes; its weights
+are kept beside this module, which writes them when it is run.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -304,6 +306,17 @@ def trained(seed: int = 11, steps: int = 300, batch: int = 32) -> Network:
     return net
 
 
+#: Written by ``python -m auditlake.llm.pii``: what ``trained()`` gives, as 32-bit numbers.
+WEIGHTS = Path(__file__).with_name("span_weights.npz")
+
+
+@lru_cache(maxsize=1)
+def shipped() -> Network:
+    """The trained network from its file, so that a session need not train it again."""
+    with np.load(WEIGHTS) as found:
+        return Network({name: found[name].astype(float) for name in found.files})
+
+
 def tag_texts(net: Network, parts: list[str], most: int = 1024) -> list[np.ndarray]:
     """Tags of each stretch: windows' emissions averaged where they overlap, then one Viterbi pass a stretch."""
     windows: list[tuple[int, int]] = []
@@ -403,7 +416,7 @@ def personal_data(docs: DataFrame, net: Network | None = None) -> DataFrame:
     rules; ``spans`` has these and what the network adds.  Null text counts as
     empty (no spans); repeated rows get one result each; null ids are kept.
     """
-    model = net or trained()
+    model = net or shipped()
 
     def run(batch: pa.RecordBatch) -> dict:
         found = find_spans(batch.column("text").to_pylist(), model)
@@ -433,7 +446,7 @@ def mask_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
     Null texts stay null, empty ones empty; each of repeated rows is masked; an
     empty table stays empty.  Long texts are taken in slices of bounded bytes.
     """
-    model = net or trained()
+    model = net or shipped()
 
     def run(part: pa.RecordBatch, found: list[str | None]) -> pa.RecordBatch:
         spans = find_spans([t or "" for t in found], model)
@@ -441,3 +454,7 @@ def mask_documents(docs: DataFrame, net: Network | None = None) -> DataFrame:
         return part.set_column(at := part.schema.get_field_index("text"), part.schema.field(at), pa.array(made, part.schema.field(at).type))
 
     return arrow_rows(docs, run)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{name: value.astype(np.float32) for name, value in trained().p.items()})

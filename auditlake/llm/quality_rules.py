@@ -124,7 +124,7 @@ def document_stats_with(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = FIT_ROWS) -> DataFrame:
-    """Counts of every document, base_failed, quality_score and kept.
+    """Counts of every document, base_failed, kept and quality_score.
 
     base_failed: fewer than 50 words, or more than half of them in repeated
     three-word windows.  kept: not base_failed and scored at least
@@ -139,7 +139,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, mo
         score = trees.probability(np.column_stack([found[f] for f in FEATURES]))
         n, repeats = np.array(found["n_words"]), np.array(found["n_repeat_words"])
         failed = (n < 50) | (100 * repeats > 50 * n)
-        return {k: found[k] for k in ("doc_id", *COUNTS)} | {"base_failed": failed, "quality_score": score, "kept": ~failed & (score >= threshold)}
+        return {k: found[k] for k in ("doc_id", *COUNTS)} | {"base_failed": failed, "kept": ~failed & (score >= threshold), "quality_score": score}
 
-    shape = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "quality_score double", "kept boolean"])
+    shape = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean", "quality_score double"])
     return arrow_map(texts(docs), run, shape)
