@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reporting verb, clause
-end, other).  Five small transducers mark those symbols in turn and are composed
-into one machine; a last one weighs the marked symbols.  A hit counts with its
-word's weight times the machine's factor: more when aimed at somebody, less when
-negated or reported.  Hits are added up by clause, and a logistic curve maps the
-clauses of a document to a score.
+Words become symbols (insult, threat, target, negation, reporting verb, other).
+Small transducers for insults, negation, reported speech and targets read a
+clause from the left and are composed into one machine; what they write is read
+from the right by a second machine, composed of those for reported speech,
+targets and threats and of a weigher.  So a target or a reporting verb counts
+on either side of a hit, as in "you idiot" and "idiots like you".  A hit counts
+with its word's weight times the machine's factor: more when aimed at somebody
+or heaped on another, less when negated or reported.  Hits are added up by
+clause, and a logistic curve maps the clauses of a document to a score.
 
 Insults are learned from labelled documents as words and word stems that occur
 in toxic documents in many different contexts and hardly anywhere else; counting
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, texts
+from .common import arrow_map, arrow_rows, crc_mod, discard, stored, texts
 from .stats import labelled_sample
 
 FIT_ROWS = 20_000
@@ -51,49 +54,57 @@ class Transducer:
         return self.arcs[state].get(symbol, (state, symbol, 0.0))
 
 
-_HITS = ["I", "T"]
-_MARKS = ["", "~"]
+#: Hits of the left machine: an insult, one more after it, a threat.
+HITS = ("I", "J", "T")
+#: Marks of a hit, in the order in which they are written: negated, reported, aimed.
+MARKS = "~\"@"
+_SUBSETS = ["".join(m for k, m in enumerate(MARKS) if bits >> k & 1) for bits in range(8)]
+_EVERY_HIT = [h + marks for h in HITS for marks in _SUBSETS]
+
+
+def _with(hit: str, mark: str) -> str:
+    return hit[0] + "".join(m for m in MARKS if m in hit[1:] or m == mark)
+
+
+def insult(reach: int = 2) -> Transducer:
+    """An insult is a hit, and one that follows another within ``reach`` words a heaped one."""
+    arcs = {0: {"I": (reach, "I", 0.0)}}
+    for left in range(1, reach + 1):
+        arcs[left] = {s: (left - 1, s, 0.0) for s in "oTGNR"} | {"I": (reach, "J", 0.0)}
+    return Transducer(arcs)
 
 
 def negation(reach: int = 3) -> Transducer:
-    """Marks hits with ``~`` within ``reach`` words of a negation in the same clause."""
+    """Marks hits within ``reach`` words after a negation; negations are ordinary words from here on."""
     arcs = {}
     for left in range(reach + 1):
         after = max(0, left - 1)
-        arcs[left] = {"N": (reach, "o", 0.0), "E": (0, "E", 0.0)} | {s: (after, s, 0.0) for s in "oGR"} | {h: (after, h + "~" * (left > 0), 0.0) for h in _HITS}
+        arcs[left] = {"N": (reach, "o", 0.0)} | {s: (after, s, 0.0) for s in "oGR"} | {h: (after, _with(h, "~") if left else h, 0.0) for h in HITS}
     return Transducer(arcs)
 
 
-def _clause_mark(trigger: str, mark: str, inputs: list[str], passed: str) -> Transducer:
-    """After ``trigger`` and until the clause ends, adds ``mark`` to hits."""
-    first = {trigger: (1, passed, 0.0)}
-    then = {h: (1, h + mark, 0.0) for h in inputs} | {"E": (0, "E", 0.0), trigger: (1, passed, 0.0)}
-    return Transducer({0: first, 1: then})
+def _after(trigger: str, mark: str) -> Transducer:
+    """From ``trigger`` on to the clause's end, in the direction of reading, hits get ``mark``."""
+    return Transducer({0: {trigger: (1, trigger, 0.0)}, 1: {h: (1, _with(h, mark), 0.0) for h in _EVERY_HIT}})
 
 
 def reported() -> Transducer:
-    return _clause_mark("R", '"', [h + m for h in _HITS for m in _MARKS], "o")
+    return _after("R", '"')
 
 
 def targeted() -> Transducer:
-    return _clause_mark("G", "@", [h + m + q for h in _HITS for m in _MARKS for q in ("", '"')], "G")
+    return _after("G", "@")
 
 
 def threat() -> Transducer:
-    """A threatening verb counts only together with a target; on its own it is an ordinary word."""
-    kinds = ["T" + m + q for m in _MARKS for q in ("", '"')]
-    idle = {k: (k, "o", 0.0) for k in kinds} | {k + "@": (0, "H" + k[1:], 0.0) for k in kinds}
-    arcs: dict = {0: idle}
-    for k in kinds:
-        arcs[k] = idle | {"G": (0, "H" + k[1:] + "@", 0.0), "E": (0, "E", 0.0)}
-    return Transducer(arcs)
+    """A threatening verb is a hit only when aimed; else it is an ordinary word."""
+    return Transducer({0: {h: (0, "H" + h[1:] if "@" in h else "o", 0.0) for h in _EVERY_HIT if h[0] == "T"}})
 
 
 def weigher() -> Transducer:
-    """Log factors of the marks: negated hits count a third, reported ones a half, aimed ones one and a half."""
-    factors = {"~": math.log(1 / 3), '"': math.log(1 / 2), "@": math.log(3 / 2)}
-    shapes = [k + m + q + a for k in "IH" for m in _MARKS for q in ("", '"') for a in ("", "@")]
-    return Transducer({0: {s: (0, s, sum(factors[c] for c in s[1:])) for s in shapes}})
+    """Log factors: negated hits count a third, reported ones a half, aimed ones one and a half, heaped ones a quarter more."""
+    factors = {"~": math.log(1 / 3), '"': math.log(1 / 2), "@": math.log(3 / 2), "J": math.log(5 / 4)}
+    return Transducer({0: {k + m: (0, k + m, sum(factors.get(c, 0.0) for c in k + m)) for k in "IJH" for m in _SUBSETS}})
 
 
 def compose(first: Transducer, second: Transducer, alphabet: list[str]) -> Transducer:
@@ -114,18 +125,29 @@ def compose(first: Transducer, second: Transducer, alphabet: list[str]) -> Trans
     return Transducer(arcs, start)
 
 
-ALPHABET = ["o", "I", "T", "G", "N", "R", "E"]
+ALPHABET = ["o", "I", "T", "G", "N", "R"]
 
 
-def grammar() -> Transducer:
-    """All five transducers and the weights in one machine, states numbered from 0."""
-    machine = negation()
-    for part in (reported(), targeted(), threat(), weigher()):
-        machine = compose(machine, part, ALPHABET)
+def _machine(parts: list[Transducer], alphabet: list[str]) -> Transducer:
+    """All parts in one, states numbered from 0."""
+    machine = parts[0]
+    for part in parts[1:]:
+        machine = compose(machine, part, alphabet)
     number = {state: i for i, state in enumerate(machine.arcs)}
     return Transducer({number[s]: {c: (number[n], out, w) for c, (n, out, w) in row.items()} for s, row in machine.arcs.items()}, number[machine.start])
 
 
+def grammar() -> tuple[Transducer, Transducer]:
+    """The machine that reads clauses from the left, and the one that reads its output from the right."""
+    left = _machine([insult(), negation(), reported(), targeted()], ALPHABET)
+    between = sorted({out for row in left.arcs.values() for _, out, _ in row.values()})
+    return left, _machine([reported(), targeted(), threat(), weigher()], between)
+
+
+#: What an aimed threat weighs, as a learned insult of middle weight.
+THREAT_WEIGHT = 2.0
+
+
 @dataclass
 class Lexicon:
     words: dict[str, float]
@@ -143,13 +165,14 @@ class ClauseScorer:
     """Runs the grammar over the clauses that hold a hit."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.machine = lexicon, grammar()
+        self.lexicon = lexicon
+        self.left, self.right = grammar()
         self.known: dict[str, float] = {}
 
     def _hit(self, word: str) -> float:
         known = self.known
         if word not in known:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             known[word] = 1.0 if word in THREATS else self.lexicon.weight(word)
         return known[word]
@@ -174,14 +197,18 @@ class ClauseScorer:
         return [s for s in scores if s > 0], len(tokens)
 
     def _clause(self, words: list[str]) -> float:
-        state, total, pending = self.machine.start, 0.0, 1.0
-        arcs = self.machine.arcs
+        state, arcs, read = self.left.start, self.left.arcs, []
         for word in words:
-            weight = 0.0 if word in THREATS else self._hit(word)
-            symbol = "I" if weight else "T" if word in THREATS else "N" if word in NEGATIONS else "G" if word in TARGETS else "R" if word in REPORTS else "o"
+            symbol = "T" if word in THREATS else "I" if self._hit(word) else "N" if word in NEGATIONS else "G" if word in TARGETS else "R" if word in REPORTS else "o"
+            state, out, _ = arcs[state][symbol]
+            read.append(out)
+        state, arcs, total = self.right.start, self.right.arcs, 0.0
+        for word, symbol in zip(reversed(words), reversed(read), strict=True):
             state, out, log_factor = arcs[state][symbol]
-            if out[0] in "IH":
-                total += (weight or 2 * pending) * math.exp(log_factor)
+            if out[0] in "IJ":
+                total += self._hit(word) * math.exp(log_factor)
+            elif out[0] == "H":
+                total += THREAT_WEIGHT * math.exp(log_factor)
         return total
 
     def features(self, text: str) -> list[float]:
@@ -280,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, held: int =
     A lexicon from two thirds of them feeds the logistic fit on the rest; the
     lexicon that is used comes from all.  Without labels every score is one half.
     """
-    sample = labelled_sample(docs, labels, "toxic", most, crc_mod("doc_id", folds) != held)
+    sample = stored(labelled_sample(docs, labels, "toxic", most, crc_mod("doc_id", folds) != held), "toxic-sample")
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
     scorer = ClauseScorer(learn_lexicon(sample.where(part != 0)))
 
@@ -290,11 +317,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, held: int =
 
     rows = arrow_map(sample.where(part == 0), run, "x0 double, x1 double, x2 double, x3 double, x4 double, label int").toPandas()
     x, y = rows[[f"x{i}" for i in range(5)]].to_numpy(float).reshape(-1, 5), rows["label"].to_numpy(float)
-    return ToxicityModel(learn_lexicon(sample), logistic(x, y) if len(y) else np.zeros(5))
+    model = ToxicityModel(learn_lexicon(sample), logistic(x, y) if len(y) else np.zeros(5))
+    discard(sample)
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = FIT_ROWS, held: int = 2, folds: int = 4) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_clauses (matched) of every whole text.
+    """doc_id, held_out, score, predicted and n_clauses (matched) of every whole text, other columns left out.
 
     Only labels of rows outside fold ``held`` (crc32 of the id) are learned
     from.  Null and empty texts match no clause and get the score that clean
@@ -309,18 +338,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: i
         return {"doc_id": batch.column("doc_id"), "score": score, "predicted": (score >= threshold).astype(int), "n_clauses": [round(math.expm1(f[3])) for f in found]}
 
     scored = arrow_map(texts(docs), run, "doc_id long, score double, predicted int, n_clauses long")
-    return scored.withColumn("held_out", crc_mod("doc_id", folds) == held)
+    return scored.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "score", "predicted", "n_clauses")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that are not toxic, all columns kept."""
+    """The rows of ``docs`` that score below the threshold, all columns kept.
+
+    Null and empty texts match no clause and stay; each of repeated rows is
+    judged alike; an empty table stays empty, and without labels nothing is
+    known and all rows stay.  Long texts are taken in slices of bounded bytes.
+    """
     model = train(docs, labels)
+    if not model.weights.any():
+        return docs
     scorer = ClauseScorer(model.lexicon)
 
-    @F.pandas_udf("double")
-    def score(column):
-        import pandas as pd
-
-        return pd.Series(model.score([scorer.features(t or "") for t in column]), dtype=float)
+    def run(part: pa.RecordBatch, found: list[str | None]) -> pa.RecordBatch:
+        return part.filter(pa.array(model.score([scorer.features(t or "") for t in found]) < threshold))
 
-    return docs.where(score(F.col("text")) < threshold)
+    return arrow_rows(docs, run)
