@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,18 +13,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of text handled at once inside a Python worker.
-SLICE_ROWS, SLICE_BYTES = 2000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+#: Bytes, about, that Spark sends a Python worker at once.
+ARROW_BYTES = 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and one in the warehouse on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
+        local = re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch")
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -111,6 +115,31 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's limit of bytes in an Arrow batch, so that long texts don't fill the workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key, None) or "").rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives back freed memory at its end: Spark keeps idle workers for later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """``function`` maps a bounded slice to columns; Arrow batches in and out, no row objects."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -125,7 +154,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, obje
                 made = function(part)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, struct)
+    return df.mapInArrow(trimmed(run), struct)
 
 
 def arrow_rows(df: DataFrame, function: Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch], column: str = "text") -> DataFrame:
@@ -136,11 +165,14 @@ def arrow_rows(df: DataFrame, function: Callable[[pa.RecordBatch, list[str | Non
             for part in slices(batch, column):
                 yield function(part, part.column(part.schema.get_field_index(column)).to_pylist())
 
-    return df.withColumn(column, F.col(column).cast("string")).mapInArrow(run, df.withColumn(column, F.col(column).cast("string")).schema)
+    bounded(df.sparkSession)
+    rows = df.withColumn(column, F.col(column).cast("string"))
+    return rows.mapInArrow(trimmed(run), rows.schema)
 
 
 def texts(df: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text with nulls as empty; extra columns are dropped here."""
+    bounded(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

@@ -6,105 +6,71 @@ of the first order (common tokens last, so that boilerplate stays out of the
 prefixes) and must share prefix tokens under two more orders before their sets
 are compared.
 
-Documents with one shingle set are one class with a number of its own, since rows
-of one doc_id may differ in text and so be in several classes.  A group of classes that share a token is not expanded into pairs: each class is
-first compared with the group's smallest one.  Pairs that are then still in
-different components are the only ones left; groups with more than ``SMALL`` of
-them are split by their members' prefix tokens of the next order.  Groups are
-also split by set size, since sets of very different sizes can't be similar.
+Documents with one shingle set are one class with a number of its own, since
+rows of one doc_id may differ in text and so be in several classes.  A group of
+classes that share a token is not expanded into pairs: each class is first
+compared with the group's smallest one.  Pairs that are then still in different
+components are the only ones left; groups with more than ``SMALL`` of them are
+split by their members' prefix tokens of the next order.  Groups are also split
+by set size, since sets of very different sizes can't be similar.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, stored, texts
+from .common import KeyFilter, arrow_map, discard, slices, stored, texts, trimmed
 from .graph import components
+from .shingles import Sets, mix
 
 #: Groups up to this size are joined with themselves; sizes and positions are tested inside the join.
 SMALL = 512
-#: Members of a larger group that all its others are compared with in one round.
+#: Members of a larger group that all its others are compared with in one round, about.
 LEADERS = 64
-#: Rows of one class compared with one leader in one task.
-SALT_ROWS = 512
-#: Tokens that the orders know to be common; others count as equally rare.
-COMMON_TOKENS = 1 << 22
+#: Rows compared with one leader in one task.
+SALT_ROWS = 64
+#: Tokens that the orders know to be common, and the cells of the table that holds their levels; others count as equally rare.
+COMMON_TOKENS, LEVEL_BITS = 1 << 22, 24
 #: A task counts tokens over stretches of about this many and reports those that occur twice or more.
-COUNTED_TOKENS = 1 << 22
+COUNTED_TOKENS = 1 << 21
+#: Bytes of text that are cut into shingles at once.
+TEXT_BYTES = 2 << 20
 
-_MULTIPLY = np.uint64(0xBF58476D1CE4E5B9)
 _SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
-def _mix(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(31))) * _MULTIPLY
-    return values ^ (values >> np.uint64(29))
-
-
-class Shingler:
-    """Distinct shingle hashes of a text, sorted; words are hashed once while they stay in the cache."""
-
-    CACHE = 500_000
-
-    def __init__(self, words: int):
-        self.words = words
-        self.known: dict[bytes, int] = {}
-
-    def tokens(self, text: str) -> np.ndarray:
-        import xxhash
-
-        found = text.encode().lower().split()
-        if not found:
-            return np.empty(0, np.uint64)
-        known, out = self.known, []
-        for word in found:
-            value = known.get(word)
-            if value is None:
-                if len(known) >= self.CACHE:
-                    known.clear()
-                value = known[word] = xxhash.xxh3_64_intdigest(word)
-            out.append(value)
-        hashes = np.array(out, dtype=np.uint64)
-        width = min(self.words, len(hashes))
-        total = hashes[: len(hashes) - width + 1] + np.uint64(width)
-        for j in range(1, width):
-            total = _mix(total) + hashes[j : j + len(total)]
-        return np.unique(_mix(total))
-
-
 def prefix_size(n: int, percent: int) -> int:
     """Tokens of a set of n of which a set of at least ``percent`` similarity shares one."""
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
 class Orders:
-    """Global token orders: known common tokens last by count, then by a hash of the order's own."""
+    """Global token orders: known common tokens last by count, then by a hash of the order's own.
 
-    def __init__(self, tokens: np.ndarray, levels: np.ndarray):
-        """``tokens``: upper halves of the known tokens; ``levels``: their counts on a logarithmic scale.
+    An order is a function of the token alone, so common tokens that meet in one
+    cell and counts that are rounded change the order, not what the filter finds.
+    """
 
-        An order is a function of the token alone, so halves that coincide and
-        counts that are rounded change the order, not what the filter finds.
-        """
-        at = np.lexsort((levels, tokens))
-        tokens, levels = tokens[at], levels[at]
-        last = np.concatenate([tokens[1:] != tokens[:-1], [True]]) if len(tokens) else np.empty(0, bool)
-        self.tokens, self.levels = tokens[last], levels[last]
+    def __init__(self, halves: np.ndarray, levels: np.ndarray):
+        """``halves``: upper halves of the known tokens; ``levels``: their counts on a logarithmic scale."""
+        self.levels = np.zeros(1 << LEVEL_BITS, np.uint8)
+        np.maximum.at(self.levels, halves >> np.uint32(32 - LEVEL_BITS), levels)
 
-    def prefix(self, tokens: np.ndarray, percent: int, order: int) -> np.ndarray:
-        size = prefix_size(len(tokens), percent)
-        level = np.zeros(len(tokens), np.int64)
-        if len(self.tokens):
-            half = (tokens >> np.uint64(32)).astype(np.uint32)
-            place = np.minimum(np.searchsorted(self.tokens, half), len(self.tokens) - 1)
-            level = np.where(self.tokens[place] == half, self.levels[place], 0)
-        return tokens[np.lexsort((_mix(tokens ^ _SALTS[order]), level))[:size]]
+    def prefixes(self, sets: Sets, percent: int, order: int) -> list[np.ndarray]:
+        """The prefix of every set, in the order given."""
+        level = self.levels[sets.tokens >> np.uint64(64 - LEVEL_BITS)].astype(np.uint64)
+        rank = level << np.uint64(56) | mix(sets.tokens ^ _SALTS[order]) >> np.uint64(8)
+        out = []
+        for a, b in zip(sets.begins.tolist(), sets.ends.tolist(), strict=True):
+            size, own = prefix_size(b - a, percent), rank[a:b]
+            at = np.argpartition(own, size - 1)[:size] if size < b - a else np.arange(b - a)
+            out.append(sets.tokens[a:b][at[np.argsort(own[at])]])
+        return out
 
 
 def _common_tokens(seen: DataFrame) -> Orders:
@@ -129,13 +95,10 @@ def _common_tokens(seen: DataFrame) -> Orders:
             yield pa.RecordBatch.from_arrays([pa.array([half.tobytes()], pa.binary()), pa.array([level.tobytes()], pa.binary())], ["token", "level"])
 
     packed = counts.where(F.col("n") >= least).mapInArrow(pack, "token binary, level binary").collect()
+    discard(counts)
     return Orders(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(bytes(r.token), "<u4") for r in packed)]), np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(bytes(r.level), np.uint8) for r in packed)]))
 
 
-def _key(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
-
-
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)))
@@ -150,14 +113,13 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class JaccardJoin:
-    """The join of one table; ``links`` and ``membership`` share its intermediate tables."""
+    """The join of one table."""
 
     def __init__(self, docs: DataFrame, words: int = 3, percent: int = 90):
         if not 0 < percent <= 100:
             raise ValueError("the similarity is a percentage above 0")
         self.words, self.percent = words, percent
         self.docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
-        shingler = Shingler(words)
 
         def measure(batches):
             gathered: list[np.ndarray] = []
@@ -167,70 +129,71 @@ class JaccardJoin:
                 return pa.RecordBatch.from_arrays([pa.array(common, pa.bool_()), pa.array(doc_id, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(text_hash, pa.int64())], ["common", "doc_id", "n", "key", "text_hash"])
 
             def often() -> pa.RecordBatch:
-                token, count = np.unique(np.concatenate(gathered), return_counts=True)
-                token, count = token[count > 1], count[count > 1]
+                token = np.concatenate(gathered)
+                token.sort()
+                edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+                count = np.diff(edges)
+                token, count = token[edges[:-1][count > 1]], count[count > 1]
                 return rows(np.ones(len(token), bool), token.view(np.int64), count, [None] * len(token), [None] * len(token))
 
             for batch in batches:
-                for part in slices(batch):
-                    sets = [shingler.tokens(t) for t in part.column("text").to_pylist()]
-                    yield rows(np.zeros(len(sets), bool), part.column("doc_id"), [len(s) for s in sets], [_key(s) if len(s) else None for s in sets], part.column("text_hash"))
-                    gathered += sets
-                    held += sum(map(len, sets))
+                for part in slices(batch, most=TEXT_BYTES):
+                    sets = Sets(part.column("text"), words)
+                    yield rows(np.zeros(len(sets), bool), part.column("doc_id"), sets.sizes, sets.keys(), part.column("text_hash"))
+                    gathered.append(sets.tokens)
+                    held += len(sets.tokens)
                     if held >= COUNTED_TOKENS:
                         yield often()
                         gathered, held = [], 0
-            if gathered:
+            if held:
                 yield often()
 
-        measured = stored(self.docs.mapInArrow(measure, "common boolean, doc_id long, n long, key binary, text_hash long"), "jaccard-sets")
+        measured = stored(self.docs.mapInArrow(trimmed(measure), "common boolean, doc_id long, n long, key binary, text_hash long"), "jaccard-sets")
         #: One row per document: doc_id, n, key of its shingle set (null: empty), hash of its text.
-        self.sets = measured.where("not common").drop("common")
+        self.sets = stored(measured.where("not common").drop("common"), "jaccard-documents")
         self.orders = _common_tokens(measured.where("common").select(F.col("doc_id").alias("token"), "n"))
+        discard(measured)
         #: key -> number (id) of the class, and its smallest doc_id with the hash of one of that row's texts; documents without id make no class.
         named = self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
         self.classes = stored(named.select("key", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("id")), "jaccard-classes")
 
     def _prefixes(self) -> DataFrame:
         """token, id, n, pos: first-order prefix tokens of every class and their places."""
-        shingler, orders, percent = Shingler(self.words), self.orders, self.percent
+        words, orders, percent = self.words, self.orders, self.percent
 
         def run(batch: pa.RecordBatch) -> dict:
-            seen: dict[bytes, tuple] = {}
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = shingler.tokens(text)
-                if doc_id is not None and len(tokens):
-                    key = _key(tokens)
-                    if key not in seen or seen[key][0] > doc_id:
-                        seen[key] = (doc_id, len(tokens), orders.prefix(tokens, percent, 0))
-            return {"doc_id": [v[0] for v in seen.values()], "key": list(seen), "n": [v[1] for v in seen.values()], "tokens": _lists([v[2] for v in seen.values()], np.int64)}
-
-        found = arrow_map(self.docs, run, "doc_id long, key binary, n long, tokens array<long>")
+            sets = Sets(batch.column("text"), words)
+            found = orders.prefixes(sets, percent, 0)
+            seen: dict[bytes, tuple[int, int]] = {}
+            for row, (doc_id, key) in enumerate(zip(batch.column("doc_id").to_pylist(), sets.keys(), strict=True)):
+                if doc_id is not None and key is not None and (key not in seen or seen[key][0] > doc_id):
+                    seen[key] = (doc_id, row)
+            rows = [row for _, row in seen.values()]
+            return {"doc_id": [i for i, _ in seen.values()], "key": list(seen), "n": sets.sizes[rows], "tokens": _lists([found[row] for row in rows], np.int64)}
+
+        found = arrow_map(self.docs, run, "doc_id long, key binary, n int, tokens array<long>", most=TEXT_BYTES)
         named = found.join(self.classes.select("key", "doc_id", "id"), ["key", "doc_id"])
-        return named.select(F.posexplode("tokens").alias("pos", "token"), "id", F.col("n").cast("int").alias("n"))
+        once = named.dropDuplicates(["key", "doc_id"])  # repeated rows make one class
+        return once.select(F.posexplode("tokens").alias("pos", "token"), "id", "n")
 
     def _store(self, ids: DataFrame) -> DataFrame:
-        """id, n, packed text and the prefixes of the second and third order of the given classes."""
-        shingler, orders, percent = Shingler(self.words), self.orders, self.percent
-        wanted = self.classes.join(ids, "id").select("id", "key", "doc_id", "text_hash")
+        """id, n, packed text and the prefixes of the second and third order of the classes in ``ids``."""
+        words, orders, percent = self.words, self.orders, self.percent
+        wanted = stored(self.classes.join(ids.distinct(), "id").select("id", "doc_id", "text_hash"), "jaccard-wanted")
 
         def run(batch: pa.RecordBatch) -> dict:
             import zstandard
 
             pack = zstandard.ZstdCompressor(level=3).compress
-            out: dict[str, list] = {"id": [], "n": [], "text": [], "second": [], "third": []}
-            for doc_id, text, key in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                tokens = shingler.tokens(text)
-                if _key(tokens) != key:  # a text of another class whose hash coincides
-                    continue
-                second, third = (_mix(orders.prefix(tokens, percent, k)).astype(np.uint32).view(np.int32) for k in (1, 2))
-                for column, value in zip(out.values(), (doc_id, len(tokens), pack(text.encode()), second, third), strict=True):
-                    column.append(value)
-            return out | {"second": _lists(out["second"], np.int32), "third": _lists(out["third"], np.int32)}
-
-        rows = self.docs.join(wanted, ["doc_id", "text_hash"]).select("id", "key", "text")
-        made = arrow_map(rows, run, "id long, n int, text binary, second array<int>, third array<int>")
-        return stored(made.dropDuplicates(["id"]), "jaccard-store")
+            sets = Sets(batch.column("text"), words)
+            second, third = ([mix(p).astype(np.uint32).view(np.int32) for p in orders.prefixes(sets, percent, k)] for k in (1, 2))
+            return {"id": batch.column("id"), "n": sets.sizes, "text": [pack(t.as_buffer()) for t in batch.column("text")], "second": _lists(second, np.int32), "third": _lists(third, np.int32)}
+
+        near = KeyFilter(wanted, "doc_id", "text_hash").possible(self.docs, "doc_id", "text_hash")
+        rows = near.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text")
+        made = stored(arrow_map(rows, run, "id long, n int, text binary, second array<int>, third array<int>", most=TEXT_BYTES), "jaccard-store")
+        discard(wanted)
+        return made
 
     def _verified(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the filters of the other orders and then the exact test.
@@ -245,7 +208,7 @@ class JaccardJoin:
         members = passed.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("id"), F.lit(1).alias("kind"))
         leaders = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("id"), F.lit(0).alias("kind"))
         rows = members.unionByName(leaders).join(store.select("id", "text"), "id")
-        shingler, percent = Shingler(self.words), self.percent
+        words, percent = self.words, self.percent
 
         def run(batches):
             import zstandard
@@ -253,17 +216,20 @@ class JaccardJoin:
             unpack = zstandard.ZstdDecompressor().decompress
             leader, tokens = None, None
             for batch in batches:
-                found = []
-                for b, number, kind, packed in zip(*(batch.column(c).to_pylist() for c in ("b", "id", "kind", "text")), strict=True):
-                    own = shingler.tokens(unpack(packed, max_output_size=1 << 31).decode())
-                    if kind == 0:
-                        leader, tokens = b, own
-                    elif leader == b and _similar(own, tokens, percent):
-                        found.append((number, b))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                for part in slices(batch, most=TEXT_BYTES // 4):
+                    found = []
+                    sets = Sets(pa.array([unpack(t.as_buffer(), max_output_size=1 << 31) for t in part.column("text")], pa.binary()), words)
+                    for row, (b, number, kind) in enumerate(zip(*(part.column(c).to_pylist() for c in ("b", "id", "kind")), strict=True)):
+                        if kind == 0:
+                            leader, tokens = b, sets[row].copy()
+                        elif leader == b and _similar(sets[row], tokens, percent):
+                            found.append((number, b))
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-        return stored(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+        links = stored(dealt.mapInArrow(trimmed(run), "a long, b long"), "jaccard-links")
+        discard(passed)
+        return links
 
     def _by_size(self, rows: DataFrame) -> DataFrame:
         """Groups split by set size: each row goes to its size class and the next, so that two sets of possible sizes meet.
@@ -291,28 +257,31 @@ class JaccardJoin:
 
         Documents without words or text are empty and alone.  A document without
         id links to nothing and has a null component.  Rows that share a doc_id
-        belong to one component.  One row per input row.
+        belong to one component.  Other columns are left out; an empty table
+        gives an empty one.  One row per input row.
         """
         prefixes = stored(self._prefixes(), "jaccard-prefixes")
-        groups = prefixes.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
-        shared = stored(prefixes.join(stored(groups, "jaccard-groups"), "token"), "jaccard-shared")
-        rows = self._by_size(shared.withColumnRenamed("token", "g"))
-        leaders = rows.groupBy("g").agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("size"))
-        leaders = stored(leaders.where("lead.id <> last").select("g", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos"), "size"), "jaccard-leaders")
-        rows = stored(rows.join(leaders, "g"), "jaccard-rows")
-        store = self._store(rows.select("id").distinct())
+        met = stored(prefixes.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token"), "jaccard-groups")
+        shared = KeyFilter(met, "token").possible(prefixes, "token").join(met, "token").withColumnRenamed("token", "g")
+        split = stored(self._by_size(shared), "jaccard-split")
+        discard(prefixes, met)
+        leaders = split.groupBy("g").agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("size")).where("lead.id <> last")
+        rows = stored(split.join(leaders.select("g", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos"), "size"), "g"), "jaccard-rows")
+        discard(split)
+        store = self._store(rows.select("id"))
         first = rows.where("id <> leader").where(self._close("n", "leader_n", "pos", "leader_pos")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        links = self._verified(first, store)
-        links = links.unionByName(self._same_document())
+        links = stored(self._verified(first, store).unionByName(self._same_document()), "jaccard-linked")
         labels = components(links)
         rest = rows.where("size > 2 and id <> leader").select("g", "id", "n", "pos")
-        links = links.unionByName(self._remaining(rest, links, labels, store))
-        labels = components(links)
+        found = self._remaining(rest, links, labels, store)
+        discard(rows, store)
+        labels = components(links.unionByName(found))
         joined = self.classes.join(labels, "id").select("key", "doc_id", "component")
         least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         linked = joined.join(least, "component").select("key", "component_id")
         named = self.sets.join(self.classes.select("key", F.col("doc_id").alias("first_id")), "key", "left").join(linked, "key", "left")
         named = stored(named.select("doc_id", "n", F.coalesce("component_id", "first_id", "doc_id").alias("component_id")), "jaccard-named")
+        discard(self.classes, self.sets)
         # A row without words goes with the other rows of its doc_id.
         empty = named.where("n = 0")
         other = named.join(empty.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -322,7 +291,7 @@ class JaccardJoin:
     def _same_document(self) -> DataFrame:
         """Links (a, b) that join the classes of the rows of one doc_id."""
         repeated = self.sets.where("key is not null and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-        rows = self.sets.where("key is not null").join(stored(repeated, "jaccard-repeated"), "doc_id").select("key", "lo").distinct()
+        rows = self.sets.where("key is not null").join(repeated, "doc_id").select("key", "lo").distinct()
         number = self.classes.select("key", "id")
         return rows.join(number.toDF("key", "a"), "key").join(number.toDF("lo", "b"), "lo").where("a <> b").select("a", "b")
 
@@ -330,27 +299,26 @@ class JaccardJoin:
     def _with_mode(rows: DataFrame) -> DataFrame:
         """Adds each group's largest component and how many rows are outside it."""
         sizes = rows.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("component", F.struct("k", "component")).alias("mode"), (F.sum("k") - F.max("k")).alias("others"))
-        return stored(rows.join(stored(sizes, "jaccard-modes"), "g"), "jaccard-many")
+        return stored(rows.join(sizes, "g"), "jaccard-many")
 
-    def _meeting(self, rows: DataFrame, leaders: DataFrame, ordered: bool = True) -> DataFrame:
+    def _meeting(self, rows: DataFrame, partners: DataFrame, ordered: bool = True) -> DataFrame:
         """Pairs (a, b), a > b, of one group and two components whose sizes and places fit.
 
-        ``ordered``: a leader's partners of smaller id are leaders themselves, so larger ones are enough.
+        ``ordered``: rows and partners are the same, so partners of smaller id are enough.
         """
-        other = leaders.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("component").alias("b_component"))
+        other = partners.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("component").alias("b_component"))
         met = ((F.col("id") > F.col("b")) if ordered else (F.col("id") != F.col("b"))) & (F.col("component") != F.col("b_component")) & self._close("n", "b_n", "pos", "b_pos")
         mine = rows.select(F.col("g").alias("own"), "id", "n", "pos", "component")
         return mine.join(other, (F.col("own") == F.col("g")) & met).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
 
     def _remaining(self, rest: DataFrame, known: DataFrame, labels: DataFrame, store: DataFrame) -> DataFrame:
-        """Links between members of one group that their leaders have not joined yet."""
-        spark = rest.sparkSession
-        links = spark.createDataFrame([], "a long, b long")
+        """Links between members of one group that belong to different components so far."""
+        links = rest.sparkSession.createDataFrame([], "a long, b long")
         level = 0
         while True:
             open_ = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("g", "id", "n", "pos", "component")
             mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("g", "size")
-            open_ = stored(open_.join(stored(mixed, "jaccard-mixed"), "g"), f"jaccard-open-{level}")
+            open_ = stored(open_.join(mixed, "g"), "jaccard-open")
             if open_.isEmpty():
                 return links
             pairs = self._meeting(few := open_.where(F.col("size") <= SMALL), few)
@@ -362,10 +330,10 @@ class JaccardJoin:
             if level < 2:
                 token = store.select("id", F.explode("second" if level == 0 else "third").alias("t"))
                 rest = many.select("g", "id", "n", "pos").join(token, "id").select(F.xxhash64("g", "t").alias("g"), "id", "n", "pos")
-            else:  # the first members of each group lead a round, until none is left
-                ranked = stored(many.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("id"))), "jaccard-ranked")
-                pairs = pairs.unionByName(self._meeting(ranked, ranked.where(F.col("rank") <= LEADERS)))
-                rest = ranked.where(F.col("rank") > LEADERS).select("g", "id", "n", "pos")
+            else:  # about LEADERS members of each group lead a round, until none is left
+                drawn = F.pmod(F.xxhash64("id", "g", F.lit(level)), F.ceil(F.col("size") / LEADERS)) == 0
+                pairs = pairs.unionByName(self._meeting(many, many.where(drawn), ordered=False))
+                rest = many.where(~drawn).select("g", "id", "n", "pos")
             found = self._verified(pairs.distinct(), store)
             links = links.unionByName(found)
             if level >= 2:
@@ -382,11 +350,17 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     """The rows of ``docs``, all columns kept, with one document of each component: its smallest doc_id.
 
     Of rows that repeat a doc_id, which are one component, one stays, chosen by
-    a hash of its text; rows without an id all stay.
+    a hash of its text; rows without an id all stay.  Documents without words
+    are alone and stay; an empty table stays empty.
     """
-    found = jaccard_components(docs, words, percent)
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jaccard-gone")
-    named = docs.where("doc_id is not null")
-    kept = named.join(gone, named["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    kept = kept.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = stored(jaccard_components(docs, words, percent), "jaccard-components")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("k")).distinct()
+    repeated = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n")).where("n > 1")
+    special = stored(gone.select("k", F.lit(True).alias("gone")).unionByName(repeated.select("k", F.lit(False).alias("gone"))).groupBy("k").agg(F.max("gone").alias("gone")), "jaccard-special")
+    # Only rows that the filter can't rule out are moved.
+    rows = KeyFilter(special, "k").marked(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k")), "k")
+    settled = rows.where("not _filter_hit or k is null").select("row")
+    open_ = rows.where("_filter_hit and k is not null").join(special, "k", "left").where("not coalesce(gone, false)")
+    alone = open_.where("gone is null").select("row")
+    chosen = open_.where("gone is not null").groupBy("k").agg(F.min_by("row", F.xxhash64("row.text")).alias("row")).select("row")
+    return settled.unionByName(alone).unionByName(chosen).select("row.*")

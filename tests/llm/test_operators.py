@@ -7,11 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.llm import bpe, jaccard, matroska, packing, pii, quality_rff, quality_rules, stats, suffixes, toxicity, warc
+from auditlake.llm import bpe, common, jaccard, matroska, packing, pii, quality_rff, quality_rules, shingles, stats, suffixes, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -173,15 +174,56 @@ def test_quality_classifier(documents, odd, labels, none):
     assert (np.diff(rate) >= 0).all() and len(at) == 4
 
 
-def test_toxicity(documents, odd, labels, none):
+def test_toxicity(spark, documents, odd, labels, none):
     docs, known = documents
-    assert held(toxicity.toxicity(docs, known).collect(), known, "toxic", 4, 2) > 0.75
+    assert held(toxicity.toxicity(docs, known).collect(), known, "toxic", 4, 2) > 0.8  # 14 toxic documents are held out
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    assert held(toxicity.toxicity(docs, known).collect(), known, "toxic", 4, 2) > 0.94
     assert len(toxicity.toxicity(odd, labels).collect()) == len(ODD) and toxicity.toxicity(none, labels.where("false")).count() == 0
     scorer = toxicity.ClauseScorer(toxicity.Lexicon({"idiot": 4.0}, {"vequ": 3.0}))
     score = lambda text: sum(scorer.clauses(text)[0])
     assert score("you idiot") > score("an idiot here") > score("she said an idiot") > score("not an idiot") > score("a tree") == 0
     assert score("I will kill you") > 0 == score("kill the lights")
     assert score("the vequno") == 3.0 and score("vequ") == 0
+    # Targets and reporting verbs count on either side, threats only with a target, and heaped insults more.
+    assert score("idiot like you") == score("you idiot") and score("an idiot, she said") == score("she said an idiot")
+    assert score("kill you") == score("you kill") > 0 and score("an idiot idiot here") == pytest.approx(4 + 5)
+    assert score("never kill you") < score("kill you") and score("you said you kill") < score("you you kill")
+
+
+def test_machines_equal_their_parts_in_turn():
+    left, right = toxicity.grammar()
+    r = np.random.default_rng(9)
+
+    def run(machine, symbols):
+        state, outs, weight = machine.start, [], 0.0
+        for symbol in symbols:
+            state, out, w = machine.step(state, symbol)
+            outs.append(out)
+            weight += w
+        return outs, weight
+
+    for _ in range(500):
+        clause = list(r.choice(toxicity.ALPHABET, int(r.integers(0, 12))))
+        wanted = clause
+        for part in (toxicity.insult(), toxicity.negation(), toxicity.reported(), toxicity.targeted()):
+            wanted, _ = run(part, wanted)
+        assert run(left, clause)[0] == wanted
+        back, total = wanted[::-1], 0.0
+        for part in (toxicity.reported(), toxicity.targeted(), toxicity.threat(), toxicity.weigher()):
+            back, weight = run(part, back)
+            total += weight
+        assert run(right, wanted[::-1]) == (back, pytest.approx(total))
+
+
+def test_clean_documents(spark, documents, odd, labels, none):
+    docs, known = documents
+    scored = toxicity.toxicity(docs, known)
+    assert scored.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    bad = {r.doc_id for r in scored.where("predicted = 1").collect()}
+    kept = toxicity.clean_documents(docs.withColumn("score", F.lit("x")), known)
+    assert kept.columns == [*docs.columns, "score"] and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect() if r.doc_id not in bad)
+    assert toxicity.clean_documents(odd, labels.where("false")).count() == len(ODD) and toxicity.clean_documents(none, known).count() == 0
 
 
 def test_removed_passages_against_brute_force(spark, documents, none):
@@ -256,6 +298,34 @@ def test_jaccard_join_against_brute_force(spark, documents, monkeypatch):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_shingles_against_plain_sets():
+    draw = np.random.default_rng(10)
+    made = ["", "a", "A b", "\n x\ty  z w", "é É ü ß", "x" * 9 + " " + "y" * 8 + " " + "z" * 7, "x" * 3000 + " b c", "x" * 3001 + " b c"]
+    made += [" ".join(draw.choice(["a", "b", "ab", "abcdefgh", "abcdefghi", "漢"], int(draw.integers(0, 12)))) for _ in range(1500)]
+    for words in (1, 3, 5):
+        sets, by_tokens = shingles.Sets(pa.array(["skipped", *made]).slice(1), words), {}
+        for i, text in enumerate(made):
+            found = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+            plain = frozenset(tuple(found[k : k + words]) for k in range(len(found) - words + 1)) or (frozenset({tuple(found)}) if found else frozenset())
+            assert len(sets[i]) == len(plain) and by_tokens.setdefault(plain, sets[i].tobytes()) == sets[i].tobytes()
+        assert len(set(by_tokens.values())) == len(by_tokens) and sets.keys()[0] is None
+
+
+def test_jaccard_join_of_odd_tables(spark, odd, none):
+    table = odd.withColumns({c: F.lit(1) for c in ("g", "key", "n", "id", "token", "pos", "text_hash", "component")})
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table, 3, 90).collect())
+    wanted = {i: c for i, c in brute_components([r for r in ODD if r[0] is not None], 3, 90).items()}
+    assert got == sorted([(i or 0, *wanted.get(i, (2, None))) for i, _ in ODD])
+    assert jaccard.jaccard_components(none, 3, 90).count() == 0 and jaccard.one_of_each(none).count() == 0
+
+
+def test_key_filter(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "k")
+    rows = common.KeyFilter(keys, "k").marked(spark.range(-50, 4000).withColumn("k", F.col("id")), "k").collect()
+    assert len(rows) == 4050 and all(r._filter_hit for r in rows if 0 <= r.k < 3000 and r.k % 3 == 0)
+    assert sum(r._filter_hit for r in rows) < 1600 and common.KeyFilter(keys.where("false"), "k").possible(keys, "k").count() == 0
+
+
 def test_jaccard_join_of_repeated_ids(spark):
     r = np.random.default_rng(5)
     bases = [[f"{c}{k}" for k in r.permutation(60)] for c in "abcdef"]
@@ -289,6 +359,10 @@ def test_personal_data(odd, none):
         wanted += sum(t > 0 for t in tags)
         found += sum(g == t for g, t in zip(got, tags, strict=True) if t)
     assert found / wanted > 0.8
+    # The file holds what the seeded training gives; another machine's last digits may differ.
+    windows = [writer.window()[0] for _ in range(60)]
+    same = [(a == b).mean() for a, b in zip(pii.tag_texts(net, windows), pii.tag_texts(pii.shipped(), windows), strict=True)]
+    assert np.mean(same) > 0.97
     rows = pii.personal_data(odd, net).collect()
     assert len(rows) == len(ODD) and all(x.n_email == 0 for x in rows)
     assert pii.personal_data(none, net).count() == 0
@@ -308,15 +382,3 @@ def test_crf_gradient():
             losses.append(pii.loss_and_gradient(net, coded, tags)[0])
         net.p[name][at] = value
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grad[name][at], abs=1e-6)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf_dir = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near copies", "passages", "personal data", "packing"]
-    pieces = corpus_pipeline.run(spark, sf_dir).collect()
-    kept = {r.doc_id for r in pieces}
-    assert 0.5 * docs.count() < len(kept) <= docs.count()
-    assert all(r.length & (r.length - 1) == 0 for r in pieces)
