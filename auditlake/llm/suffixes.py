@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded, stored, trimmed
 
 GRAM = 24
 BLOCK_BYTES = 2 << 20
@@ -169,7 +169,8 @@ class Runs:
         self.key = np.empty(0, np.uint64)
         if n < length:
             return
-        words = _words(raw, "<u8")[: n - 7]
+        # Eight bytes a byte of text: few such arrays are held at once.
+        words = np.ndarray(n - 7, "<u8", raw, 0, (1,))
         gram = words[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
         for offset in range(8, GRAM, 8):
             gram ^= gram >> np.uint64(29)
@@ -177,12 +178,14 @@ class Runs:
             gram *= np.uint64(0xBF58476D1CE4E5B9)
         gram ^= gram >> np.uint64(32)
         key = _slide(gram, length - GRAM + 1)
+        del gram
         starts = np.concatenate([[0], ends[:-1]])
         edge = np.zeros(n + 1, np.int32)
         fits = ends - starts >= length
         np.add.at(edge, starts[fits], 1)
         np.add.at(edge, ends[fits] - length + 1, -1)
-        valid = np.cumsum(edge)[: len(key)] > 0
+        valid = np.cumsum(edge, out=edge)[: len(key)] > 0
+        del edge
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (valid[1:] != valid[:-1])
         new[starts[starts < len(key)]] = True
@@ -254,7 +257,7 @@ def _unpack(data: bytes) -> bytes:
 
 
 def _blocks(docs: DataFrame, rest: list[str]) -> DataFrame:
-    """Documents gathered into compressed blocks; columns in ``rest`` ride along as an Arrow stream."""
+    """Documents gathered into compressed blocks; columns in ``rest``, and whether the text is null, ride along as an Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, serial = TaskContext.get().partitionId(), 0
@@ -270,7 +273,7 @@ def _blocks(docs: DataFrame, rest: list[str]) -> DataFrame:
 
         for batch in batches:
             begin = 0
-            columns = batch.select([f"r{i}" for i in range(len(rest))])
+            columns = batch.select([f"r{i}" for i in range(len(rest) + bool(rest))])
             for at, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)):
                 ids.append(NO_ID if doc_id is None else doc_id)
                 parts.append(text.as_buffer().to_pybytes())
@@ -283,8 +286,9 @@ def _blocks(docs: DataFrame, rest: list[str]) -> DataFrame:
         if ids:
             yield block()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)))
-    return stored(rows.mapInArrow(run, "block long, ids binary, ends binary, data binary, rest binary"), "suffix-blocks")
+    beside = [F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)] + [F.col("text").isNull().alias(f"r{len(rest)}")] * bool(rest)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *beside)
+    return stored(rows.mapInArrow(trimmed(run), "block long, ids binary, ends binary, data binary, rest binary"), "suffix-blocks")
 
 
 def _stream(batches: list[pa.RecordBatch]) -> bytes:
@@ -310,6 +314,7 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
     if length < GRAM + 1:
         raise ValueError(f"windows have to be longer than {GRAM} bytes")
     spark = docs.sparkSession
+    bounded(spark)
     blocks = _blocks(docs, rest or [])
     # As many buckets as blocks: a bucket holds about one block's share, however large the corpus is.
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks.select("block").count()), 1 << 23)
@@ -337,7 +342,7 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
                 rows.append((block, table.column("bucket")[0].as_py(), np.packbits(hit).tobytes()))
         return pa.Table.from_batches([_batch(rows, [("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])])
 
-    met = blocks.select("block", "ids", "ends", "data").mapInArrow(keys, "bucket long, block long, keys binary").groupBy("bucket").applyInArrow(meet, "block long, bucket long, bits binary")
+    met = blocks.select("block", "ids", "ends", "data").mapInArrow(trimmed(keys), "bucket long, block long, keys binary").groupBy("bucket").applyInArrow(meet, "block long, bucket long, bits binary")
     bits = stored(met.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "suffix-bits")
 
     def strings(batches):
@@ -350,8 +355,8 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
                 for b, i, j in _by_bucket(found.bucket[order]):
                     mine = order[i:j]
                     texts = [found.strings[m] for m in mine]
-                    sizes = np.fromiter(map(len, texts), "<i8", len(texts))
-                    rows.append((b, block, mine.astype("<i8").tobytes(), (found.key[mine] >> np.uint64(24)).astype("<u4").tobytes(), found.least[mine].astype("<i8").tobytes(), sizes.tobytes(), _pack(b"".join(texts))))
+                    sizes = np.fromiter(map(len, texts), "<u4", len(texts))
+                    rows.append((b, block, mine.astype("<u4").tobytes(), (found.key[mine] >> np.uint64(24)).astype("<u4").tobytes(), found.least[mine].astype("<i8").tobytes(), sizes.tobytes(), _pack(b"".join(texts))))
                 yield _batch(rows, [("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("entry", "key", "least", "sizes", "strings"))])
 
     def suffix_stage(table: pa.Table) -> pa.Table:
@@ -359,11 +364,11 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
         key_of: dict[bytes, int] = {}
         opened = []
         for row in table.to_pylist():
-            ends = np.cumsum(np.frombuffer(row["sizes"], "<i8")).tolist()
+            ends = np.cumsum(np.frombuffer(row["sizes"], "<u4"), dtype=np.int64).tolist()
             data = _unpack(row["strings"])
             own = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             ids = np.frombuffer(row["least"], "<i8")
-            opened.append((row["block"], np.frombuffer(row["entry"], "<i8"), own, ids))
+            opened.append((row["block"], np.frombuffer(row["entry"], "<u4"), own, ids))
             for text, key, number in zip(own, np.frombuffer(row["key"], "<u4").tolist(), ids.tolist(), strict=True):
                 if number < least.get(text, number + 1):
                     least[text] = number
@@ -388,7 +393,7 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
         return pa.Table.from_batches([_batch(rows, [("block", pa.int64()), ("removed", pa.binary())])])
 
     with_bits = blocks.join(bits, "block", "left")
-    found = with_bits.drop("rest").mapInArrow(strings, "bucket long, block long, entry binary, key binary, least binary, sizes binary, strings binary")
+    found = with_bits.drop("rest").mapInArrow(trimmed(strings), "bucket long, block long, entry binary, key binary, least binary, sizes binary, strings binary")
     removed = found.groupBy("bucket").applyInArrow(suffix_stage, "block long, removed binary").groupBy("block").agg(F.collect_list("removed").alias("removed"))
 
     def apply(batches):
@@ -412,7 +417,7 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
                 np.add.at(edge, begin + told[pick, 2] + length - 1, -1)
                 yield from finish(ids, ends, data, np.cumsum(edge)[: len(data)] > 0, row["rest"])
 
-    return with_bits.join(removed, "block", "left").mapInArrow(apply, shape)
+    return with_bits.join(removed, "block", "left").mapInArrow(trimmed(apply), shape)
 
 
 def _batch(rows: list[tuple], columns: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -435,7 +440,8 @@ def removed_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     document with a smaller doc_id; matches stay within documents and are
     judged on the input.  Null text is empty.  Rows that repeat a doc_id do not
     remove from each other.  A null doc_id counts as larger than all others.
-    Texts shorter than ``length`` lose nothing.  One row per input row.
+    Texts shorter than ``length`` lose nothing.  Other columns are left out; an
+    empty table gives an empty one.  One row per input row.
     """
 
     def finish(ids, ends, data, gone, _):
@@ -454,7 +460,7 @@ def without_passages(docs: DataFrame, length: int = 50) -> DataFrame:
 
     As ``removed_passages``, but only characters all of whose bytes go are cut,
     so texts stay valid.  Null texts stay null, and a text that is removed
-    altogether becomes empty.
+    altogether becomes empty.  An empty table stays empty.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -477,5 +483,4 @@ def without_passages(docs: DataFrame, length: int = 50) -> DataFrame:
         target = to_arrow_schema(shape)
         yield from pa.table([columns[c].cast(target.field(c).type) for c in names], schema=target).combine_chunks().to_batches()
 
-    flag = "text is null"
-    return _rounds(docs.withColumn(flag, F.col("text").isNull()), length, finish, shape, [*rest, flag])
+    return _rounds(docs, length, finish, shape, rest)
