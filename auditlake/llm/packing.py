@@ -30,7 +30,7 @@ END_ID = 1
 _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])")
 #: Chunks of each of the two generations that a worker keeps, their longest, and how many are encoded at once.
-KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 200_000, 64, 256
+KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 150_000, 64, 256
 
 
 class ChunkEncoder:

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one
 reads what it wrote.  All stages but the last keep the columns of documents.
+Rows with a null text or doc_id pass through as their operators say: a null or
+empty text is clean, alone and unmasked, and is packed as one end id; a row
+without doc_id is in no group of copies and ranks last among passages.  Repeated
+rows of one doc_id are one group of copies, so one of them stays.  Empty tables
+stay empty; extra columns are kept up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,12 +21,12 @@ from auditlake.llm.queries import vocabulary
 from auditlake.llm.suffixes import without_passages
 from auditlake.llm.toxicity import clean_documents
 
-#: The stages' models and sets are not SQL; tests hold run() against brute force.
+#: The stages' models and sets are not SQL; a test holds run() and each stage against plain Python.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the toxicity threshold."""
+    """Documents that score below the toxicity threshold; without any label all of them."""
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,17 +36,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings that an earlier document has."""
+    """Texts without the 50-byte strings that a document of smaller doc_id has."""
     return without_passages(docs, length=50)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind."""
+    """Texts with personal data replaced by its kind; null texts stay null."""
     return mask_documents(docs)
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of power-of-two lengths, without their ids."""
+    """The pieces of power-of-two lengths, without their ids: every id of every document is in one of them."""
     return pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 
