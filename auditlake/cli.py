@@ -135,7 +135,7 @@ def _crawl(args, config, rules, store, spark) -> int:
         p = config.politeness
         responses = spark.read.parquet(args.responses) if args.responses else LiveResponses(Manners(p.concurrency, p.perHost, p.delayMs, p.timeoutMs, p.userAgent))
         # Each level is saved as it ends, so an interrupted run keeps what it has.
-        pages, aborted = crawl(spark, made, responses, scope, None, p.userAgent, should_stop=lambda: bool(stopped), on_level=lambda level, _: store.save_pages(run_id, level))
+        pages, aborted = crawl(spark, made, responses, scope, None, p.userAgent, should_stop=lambda: bool(stopped), on_level=lambda level, _: store.save_pages(run_id, level), warn=lambda text: print(f"warning: {text}", file=sys.stderr))
         store.save_pages(run_id, pages.where("external"))
         pages = store.pages(run_id)
         site = SiteContext(spark.createDataFrame([(u,) for u in listed], "url string") if listed else None, s.followLinks)

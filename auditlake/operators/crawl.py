@@ -151,21 +151,45 @@ def host_round_robin(queue: DataFrame, host: str = "host", order: str = "pos") -
     return queue.withColumn("turn", F.row_number().over(Window.partitionBy(host).orderBy(order)))
 
 
-def pages_of(fetched: DataFrame, render: str = "auto") -> DataFrame:
-    """Page rows from fetched responses: snapshots of textual HTML answers, rendered ones where asked for and there."""
+def _rendering(renderer: Callable[[str], str]):
+    """html and error of each address that is not null; whatever the renderer raises is a result."""
+
+    @F.pandas_udf("html string, error string")
+    def run(urls: pd.Series) -> pd.DataFrame:
+        rows: list[tuple[str | None, str | None]] = []
+        for url in urls:
+            try:
+                rows.append((renderer(url), None) if isinstance(url, str) else (None, None))
+            except Exception as problem:
+                rows.append((None, str(problem) or type(problem).__name__))
+        return pd.DataFrame(rows, columns=["html", "error"], dtype=object)
+
+    return run
+
+
+def pages_of(fetched: DataFrame, render: str = "auto", renderer: Callable[[str], str] | None = None) -> DataFrame:
+    """Page rows from fetched responses: snapshots of textual HTML answers, rendered ones where asked for and there.
+
+    Rendered documents come from ``renderer`` (address to HTML, called on the
+    executors for the pages that need it) or else from a column ``rendered_html``.
+    """
     text = F.when(is_html(F.col("content_type")) & is_text(F.col("content_type")), F.col("body"))
     rows = fetched.withColumn("raw", F.when(F.col("duplicate_of").isNull(), snapshot(text, F.col("final_url"), F.col("status"), F.col("time_ms"))))
-    if "rendered_html" in fetched.columns and render != "raw":
+    if (renderer or "rendered_html" in fetched.columns) and render != "raw":
         fine = F.col("status").between(200, 299) & F.col("raw").isNotNull()
         wanted = fine & (needs_render(text, F.col("raw")) if render == "auto" else F.lit(True))
+        fault = F.lit("no rendered version")
+        if renderer:
+            rows = rows.withColumn("made", _rendering(renderer)(F.when(wanted, F.col("final_url"))))
+            rows, fault = rows.withColumn("rendered_html", F.col("made.html")), F.coalesce(F.col("made.error"), fault)
         rows = rows.withColumn("rendered", snapshot(F.when(wanted, F.col("rendered_html")), F.col("final_url"), F.col("status")))
-        rows = rows.withColumn("render_error", F.when(wanted & F.col("rendered_html").isNull(), "no rendered version"))
+        rows = rows.withColumn("render_error", F.when(wanted & F.col("rendered_html").isNull(), fault))
     else:
         rows = rows.withColumns({"rendered": F.lit(None).cast(SNAPSHOT), "render_error": F.lit(None).cast("string")})
     return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in PAGE))
 
 
-def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame | Callable[[DataFrame, str], DataFrame], scope: Scope, robots: dict[str, str] | None = None, agent: str = "*", should_stop: Callable[[], bool] = lambda: False, on_level: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, bool]:
+def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame | Callable[[DataFrame, str], DataFrame], scope: Scope, robots: dict[str, str] | None = None, agent: str = "*", should_stop: Callable[[], bool] = lambda: False, on_level: Callable[[DataFrame, int], None] | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None, renderer: Callable[[str], str] | None = None, warn: Callable[[str], None] = lambda text: None) -> tuple[DataFrame, bool]:
     """Breadth-first crawl: (pages, whether it was aborted).
 
     ``seeds``: url, source, pos.  ``responses``: url, method, attempt, status,
@@ -174,7 +198,9 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame | Callable
     ``agent``; where it is None, each level asks ``responses`` for the texts of
     its new origins.  Seeds pass the page budget but use it up; links of 2xx pages join the next level while depth and budget
     last.  A page whose redirect leads to a known address keeps no content.
-    ``keep`` writes a level to shared storage (default: the operator's own).
+    ``keep`` writes a level to shared storage (default: the operator's own);
+    ``renderer`` gives rendered documents (see ``pages_of``); ``warn`` is told of
+    external targets beyond ``max_external``.
     """
     if keep is None:
         keep = _kept
@@ -216,7 +242,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame | Callable
         fetched = fetched.join(first, F.col("final_url") == F.col("c_url"), "left")
         second = (F.size("redirects") > 0) & (F.col("c_seq") < F.col("seq"))
         fetched = fetched.withColumn("duplicate_of", F.when(second, F.col("final_url"))).drop("c_url", "c_seq")
-        rows = pages_of(fetched.withColumns({"depth": F.lit(depth), "external": F.lit(False), "robots_blocked": F.lit(False)}), scope.render)
+        rows = pages_of(fetched.withColumns({"depth": F.lit(depth), "external": F.lit(False), "robots_blocked": F.lit(False)}), scope.render, renderer)
         blocked = level.where("blocked").select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in level.columns else _blank(f, depth) for f in PAGE))
         pages = keep(rows.unionByName(blocked), "crawl-pages")
         parts.append(pages)
@@ -234,7 +260,7 @@ def crawl(spark: SparkSession, seeds: DataFrame, responses: DataFrame | Callable
         level = take_budget(fresh, scope.max_pages - accepted, ["place"])
     every = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], PAGE)
     if scope.check_external and not aborted:
-        every = every.unionByName(keep(check_external(every, responses, scope.max_external, done), "crawl-external"))
+        every = every.unionByName(keep(check_external(every, responses, scope.max_external, done, warn), "crawl-external"))
     return every, aborted
 
 
@@ -258,15 +284,21 @@ def external_targets(pages: DataFrame) -> DataFrame:
     return found.groupBy(F.col("link.href").alias("url")).agg(F.min(place).alias("place"), F.min_by(F.col("url"), place).alias("found_on"))
 
 
-def check_external(pages: DataFrame, responses: DataFrame, most: int, first_seq: int) -> DataFrame:
+def check_external(pages: DataFrame, responses: DataFrame | Callable[[DataFrame, str], DataFrame], most: int, first_seq: int, warn: Callable[[str], None] = lambda text: None) -> DataFrame:
     """Page rows (external, without content) of external targets that the crawl itself has not visited.
 
     HEAD first; GET where HEAD gives no answer, 405 or 501; one more GET after a
-    429 that names a numeric wait of up to thirty seconds.
+    429 that names a numeric wait of up to thirty seconds.  Targets beyond
+    ``most`` are not checked; ``warn`` gets their number and the first five.
     """
     targets = external_targets(pages)
     visited = pages.select(F.explode(F.array_distinct(F.array("url", "final_url"))).alias("address")).distinct()
-    chosen = targets.join(visited, F.col("url") == F.col("address"), "left_anti").orderBy("place").limit(most)
+    open_ = targets.join(visited, F.col("url") == F.col("address"), "left_anti")
+    left = open_.count() - most
+    if left > 0:
+        some = [r.url for r in open_.orderBy("place").offset(most).limit(5).collect()]
+        warn(f"{left} external targets are not checked (maxExternal is {most}): {', '.join(some)}{' and more' if left > len(some) else ''}")
+    chosen = open_.orderBy("place").limit(most)
     chosen = numbered(chosen, "place", first_seq, _kept).select("url", "found_on", "seq")
     head = follow_redirects(chosen, responses, "HEAD")
     again = F.col("status").isin(405, 501, 0)

@@ -79,6 +79,22 @@ def test_live_crawl(spark):
     assert sorted(r.seq for r in got.values()) == list(range(len(got)))
 
 
+def test_renderer_and_skipped_external_targets(spark):
+    seeds = spark.createDataFrame([("https://a.example", "url", 0)], "url string, source string, pos long")
+    told = []
+
+    def renderer(url):
+        if url.endswith("/b"):
+            raise RuntimeError("no browser")
+        return SITE[url][2].replace("Home", "Rendered")
+
+    pages, _ = crawl(spark, seeds, LiveResponses(Manners(delay_ms=1), opener()), Scope(check_external=True, max_external=1), renderer=renderer, warn=told.append)
+    got = {r.url: r for r in pages.collect()}
+    assert got["https://a.example/"].rendered.title == "Rendered" and got["https://a.example/gone"].rendered is None
+    assert got["https://a.example/b"].render_error == "no browser" and got["https://a.example/b"].rendered is None
+    assert told == ["1 external targets are not checked (maxExternal is 1): https://x.example/dead"] and "https://x.example/dead" not in got
+
+
 def test_command_line_over_recorded_pages(spark, tmp_path, capsys):
     one = opener()
     rows = [one(u) for u in SITE] + [one("https://a.example/gone")]
