@@ -1,18 +1,24 @@
-"""Exact Jaccard join on word shingles by prefix filters under several global orders.
+"""Exact Jaccard join on word shingles by prefix filters, moved to a leader where texts are alike.
 
 Two sets of similarity t share a token among the first n - ceil(t n) + 1 of each
-under every global order of tokens.  Candidates come from shared prefix tokens
-of the first order (common tokens last, so that boilerplate stays out of the
-prefixes) and must share prefix tokens under two more orders before their sets
-are compared.
+under any global order of tokens.  Candidates come from shared prefix tokens
+(common tokens last, so that boilerplate stays out of the prefixes); the counts
+of tokens by cell have to allow the similarity before sets are compared.
 
 Documents with one shingle set are one class with a number of its own, since
 rows of one doc_id may differ in text and so be in several classes.  A group of
 classes that share a token is not expanded into pairs: each class is first
-compared with the group's smallest one.  Pairs that are then still in different
-components are the only ones left; groups with more than ``SMALL`` of them are
-split by their members' prefix tokens of the next order.  Groups are also split
-by set size, since sets of very different sizes can't be similar.
+compared with the group's leader, the one with the commonest prefix tokens.
+Groups are also split by set size, since sets of very different sizes can't be
+similar.
+
+Groups that still hold several components are moved to their leader b: a set x
+becomes the symmetric difference D(x) of x and b.  That leaves the difference of
+any two sets as it is, and what a family of copies has in common is gone.  Two
+sets are similar if and only if their difference is at most
+h = (1 - t) / (1 + t) * (n(x) + n(y)), so D(x) and D(y) share at least
+(d(x) + d(y) - h) / 2 tokens.  That is above 0 unless both are similar to b, and
+gives prefixes of D, whose groups are joined with themselves.
 """
 
 from __future__ import annotations
@@ -29,9 +35,9 @@ from .graph import components
 from .shingles import Sets, mix
 
 #: Groups up to this size are joined with themselves; sizes and positions are tested inside the join.
-SMALL = 512
-#: Members of a larger group that all its others are compared with in one round, about.
-LEADERS = 64
+SMALL = 8
+#: Cells by which the tokens of a set are counted for the filter before the exact test.
+CELLS = 32
 #: Rows compared with one leader in one task.
 SALT_ROWS = 64
 #: Tokens that the orders know to be common, and the cells of the table that holds their levels; others count as equally rare.
@@ -41,7 +47,7 @@ COUNTED_TOKENS = 1 << 21
 #: Bytes of text that are cut into shingles at once.
 TEXT_BYTES = 2 << 20
 
-_SALTS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
+_SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -49,11 +55,24 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-class Orders:
-    """Global token orders: known common tokens last by count, then by a hash of the order's own.
+def shared_at_least(n: int, d: int, leader_n: int, far: bool, percent: int) -> int:
+    """Tokens that D of a set of n, d tokens off its leader, shares with D of any similar set; one of the two is not similar to the leader.
 
-    An order is a function of the token alone, so common tokens that meet in one
-    cell and counts that are rounded change the order, not what the filter finds.
+    ``far``: this one is not.  Then a partner of any kind counts, whose D holds
+    the shared tokens: d - h.  A set similar to the leader has only partners
+    that are not, whose d is above (1 - t) / (1 + t) * (n + leader_n).
+    """
+    slope = (100 - percent) / (100 + percent)
+    if far:
+        return max(1, math.ceil(d - slope * (n + 100 * n / percent) - 1e-6))
+    return max(1, math.floor((d + slope * (leader_n - n)) / 2 - 1e-6) + 1)
+
+
+class Order:
+    """The global token order: known common tokens last by count, then by a hash.
+
+    It is a function of the token alone, so common tokens that meet in one cell
+    and counts that are rounded change the order, not what the filter finds.
     """
 
     def __init__(self, halves: np.ndarray, levels: np.ndarray):
@@ -61,20 +80,26 @@ class Orders:
         self.levels = np.zeros(1 << LEVEL_BITS, np.uint8)
         np.maximum.at(self.levels, halves >> np.uint32(32 - LEVEL_BITS), levels)
 
-    def prefixes(self, sets: Sets, percent: int, order: int) -> list[np.ndarray]:
-        """The prefix of every set, in the order given."""
-        level = self.levels[sets.tokens >> np.uint64(64 - LEVEL_BITS)].astype(np.uint64)
-        rank = level << np.uint64(56) | mix(sets.tokens ^ _SALTS[order]) >> np.uint64(8)
-        out = []
-        for a, b in zip(sets.begins.tolist(), sets.ends.tolist(), strict=True):
-            size, own = prefix_size(b - a, percent), rank[a:b]
-            at = np.argpartition(own, size - 1)[:size] if size < b - a else np.arange(b - a)
-            out.append(sets.tokens[a:b][at[np.argsort(own[at])]])
-        return out
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        return self.levels[tokens >> np.uint64(64 - LEVEL_BITS)]
+
+    @staticmethod
+    def first(tokens: np.ndarray, level: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+        """The first ``size`` of distinct tokens of these levels, and their mean level."""
+        rank = level.astype(np.uint64) << np.uint64(56) | mix(tokens ^ _SALT) >> np.uint64(8)
+        at = np.argpartition(rank, size - 1)[:size] if size < len(tokens) else np.arange(len(tokens))
+        at = at[np.argsort(rank[at])]
+        return tokens[at], int(level[at].mean()) if len(at) else 0
+
+    def moved(self, tokens: np.ndarray) -> np.ndarray:
+        """Levels of a leader's tokens after the move, about: those are found where a set of its family lacks them."""
+        level = self.level(tokens).astype(float)
+        family = 2 ** (level.max() / 8)
+        return np.minimum(8 * np.log2(np.maximum(family - 2 ** (level / 8), 1 + family / 32)), 255).astype(np.uint8)
 
 
-def _common_tokens(seen: DataFrame) -> Orders:
-    """Orders that know the most frequent tokens: at most ``COMMON_TOKENS``, five bytes each, reach the driver.
+def _common_tokens(seen: DataFrame) -> Order:
+    """An order that knows the most frequent tokens: at most ``COMMON_TOKENS``, five bytes each, reach the driver.
 
     A histogram of counts gives the smallest count whose tokens are few enough;
     they come packed, a few large rows in all.
@@ -96,7 +121,7 @@ def _common_tokens(seen: DataFrame) -> Orders:
 
     packed = counts.where(F.col("n") >= least).mapInArrow(pack, "token binary, level binary").collect()
     discard(counts)
-    return Orders(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(bytes(r.token), "<u4") for r in packed)]), np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(bytes(r.level), np.uint8) for r in packed)]))
+    return Order(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(bytes(r.token), "<u4") for r in packed)]), np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(bytes(r.level), np.uint8) for r in packed)]))
 
 
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
@@ -104,11 +129,15 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)))
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which tokens of ``a`` are in ``b`` (both sorted, not empty)."""
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
-    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    shared = int((b[place] == a).sum())
+    shared = int(_shared(a, b).sum())
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
@@ -151,34 +180,34 @@ class JaccardJoin:
         measured = stored(self.docs.mapInArrow(trimmed(measure), "common boolean, doc_id long, n long, key binary, text_hash long"), "jaccard-sets")
         #: One row per document: doc_id, n, key of its shingle set (null: empty), hash of its text.
         self.sets = stored(measured.where("not common").drop("common"), "jaccard-documents")
-        self.orders = _common_tokens(measured.where("common").select(F.col("doc_id").alias("token"), "n"))
+        self.order = _common_tokens(measured.where("common").select(F.col("doc_id").alias("token"), "n"))
         discard(measured)
         #: key -> number (id) of the class, and its smallest doc_id with the hash of one of that row's texts; documents without id make no class.
         named = self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
         self.classes = stored(named.select("key", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("id")), "jaccard-classes")
 
     def _prefixes(self) -> DataFrame:
-        """token, id, n, pos: first-order prefix tokens of every class and their places."""
-        words, orders, percent = self.words, self.orders, self.percent
+        """token, id, n, weight, pos: prefix tokens of every class and their places; weight: their mean level."""
+        words, order, percent = self.words, self.order, self.percent
 
         def run(batch: pa.RecordBatch) -> dict:
             sets = Sets(batch.column("text"), words)
-            found = orders.prefixes(sets, percent, 0)
             seen: dict[bytes, tuple[int, int]] = {}
             for row, (doc_id, key) in enumerate(zip(batch.column("doc_id").to_pylist(), sets.keys(), strict=True)):
                 if doc_id is not None and key is not None and (key not in seen or seen[key][0] > doc_id):
                     seen[key] = (doc_id, row)
             rows = [row for _, row in seen.values()]
-            return {"doc_id": [i for i, _ in seen.values()], "key": list(seen), "n": sets.sizes[rows], "tokens": _lists([found[row] for row in rows], np.int64)}
+            found = [order.first(sets[row], order.level(sets[row]), prefix_size(int(sets.sizes[row]), percent)) for row in rows]
+            return {"doc_id": [i for i, _ in seen.values()], "key": list(seen), "n": sets.sizes[rows], "weight": [w for _, w in found], "tokens": _lists([t for t, _ in found], np.int64)}
 
-        found = arrow_map(self.docs, run, "doc_id long, key binary, n int, tokens array<long>", most=TEXT_BYTES)
+        found = arrow_map(self.docs, run, "doc_id long, key binary, n long, weight int, tokens array<long>", most=TEXT_BYTES)
         named = found.join(self.classes.select("key", "doc_id", "id"), ["key", "doc_id"])
         once = named.dropDuplicates(["key", "doc_id"])  # repeated rows make one class
-        return once.select(F.posexplode("tokens").alias("pos", "token"), "id", "n")
+        return once.select(F.posexplode("tokens").alias("pos", "token"), "id", "n", "weight")
 
     def _store(self, ids: DataFrame) -> DataFrame:
-        """id, n, packed text and the prefixes of the second and third order of the classes in ``ids``."""
-        words, orders, percent = self.words, self.orders, self.percent
+        """id, n, packed text and the tokens by cell of the classes in ``ids``."""
+        words = self.words
         wanted = stored(self.classes.join(ids.distinct(), "id").select("id", "doc_id", "text_hash"), "jaccard-wanted")
 
         def run(batch: pa.RecordBatch) -> dict:
@@ -186,29 +215,30 @@ class JaccardJoin:
 
             pack = zstandard.ZstdCompressor(level=3).compress
             sets = Sets(batch.column("text"), words)
-            second, third = ([mix(p).astype(np.uint32).view(np.int32) for p in orders.prefixes(sets, percent, k)] for k in (1, 2))
-            return {"id": batch.column("id"), "n": sets.sizes, "text": [pack(t.as_buffer()) for t in batch.column("text")], "second": _lists(second, np.int32), "third": _lists(third, np.int32)}
+            cells = [np.bincount((sets[row] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for row in range(len(sets))]
+            return {"id": batch.column("id"), "n": sets.sizes, "text": [pack(t.as_buffer()) for t in batch.column("text")], "cells": _lists(cells, np.int32)}
 
         near = KeyFilter(wanted, "doc_id", "text_hash").possible(self.docs, "doc_id", "text_hash")
         rows = near.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text")
-        made = stored(arrow_map(rows, run, "id long, n int, text binary, second array<int>, third array<int>", most=TEXT_BYTES), "jaccard-store")
+        made = stored(arrow_map(rows, run, "id long, n long, text binary, cells array<int>", most=TEXT_BYTES), "jaccard-store")
         discard(wanted)
         return made
 
-    def _verified(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
-        """Pairs (a, b) that pass the filters of the other orders and then the exact test.
+    def _dealt(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
+        """b, kind (0: the leader itself), id and text of pairs (a, b), so that a's partners stream past b.
 
         Rows are dealt by (b, salt): a leader with many partners is repeated for
-        each salt, and its partners stream past it.
+        each salt.
         """
-        sketch = store.select("id", "second", "third")
-        both = pairs.join(sketch.toDF("a", "a2", "a3"), "a").join(sketch.toDF("b", "b2", "b3"), "b")
-        passed = stored(both.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"), "jaccard-candidates")
-        salts = passed.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-        members = passed.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("id"), F.lit(1).alias("kind"))
+        salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
+        members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("id"), F.lit(1).alias("kind"))
         leaders = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("id"), F.lit(0).alias("kind"))
         rows = members.unionByName(leaders).join(store.select("id", "text"), "id")
-        words, percent = self.words, self.percent
+        return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+
+    def _against(self, each, gather):
+        """A function of dealt batches: ``each(id, set, leader, set)`` gives a row or None, ``gather(rows)`` a batch."""
+        words = self.words
 
         def run(batches):
             import zstandard
@@ -222,15 +252,54 @@ class JaccardJoin:
                     for row, (b, number, kind) in enumerate(zip(*(part.column(c).to_pylist() for c in ("b", "id", "kind")), strict=True)):
                         if kind == 0:
                             leader, tokens = b, sets[row].copy()
-                        elif leader == b and _similar(sets[row], tokens, percent):
-                            found.append((number, b))
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+                        elif leader == b:
+                            found.append(each(number, sets[row], b, tokens))
+                    yield gather([f for f in found if f is not None])
+
+        return trimmed(run)
+
+    def _verified(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose tokens by cell allow the similarity and that pass the exact test."""
+        percent = self.percent
+        sketch = store.select("id", "n", "cells")
+        both = pairs.join(sketch.toDF("a", "a_n", "a_cells"), "a").join(sketch.toDF("b", "b_n", "b_cells"), "b")
+        apart = F.aggregate(F.zip_with("a_cells", "b_cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+        passed = stored(both.where((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "jaccard-candidates")
 
-        dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
-        links = stored(dealt.mapInArrow(trimmed(run), "a long, b long"), "jaccard-links")
+        def each(number, own, b, tokens):
+            return (number, b) if _similar(own, tokens, percent) else None
+
+        def batch(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        links = stored(self._dealt(passed, store).mapInArrow(self._against(each, batch), "a long, b long"), "jaccard-links")
         discard(passed)
         return links
 
+    def _moved(self, pairs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of every a in pairs (a, b), moved to b: the links (a, b); and g, id, n, d, far and pos of the prefixes of D."""
+        percent, order = self.percent, self.order
+
+        def each(number, own, b, tokens):
+            more, less = own[~_shared(own, tokens)], ~_shared(tokens, own)
+            apart = np.concatenate([more, tokens[less]])
+            n, d = len(own), len(apart)
+            far = (100 + percent) * d > (100 - percent) * (n + len(tokens))
+            size = d - shared_at_least(n, d, len(tokens), far, percent) + 1
+            if size < 1:
+                return number, b, n, d, far, apart[:0]
+            return number, b, n, d, far, order.first(apart, np.concatenate([order.level(more), order.moved(tokens)[less]]), size)[0]
+
+        names = ["id", "b", "n", "d", "far", "tokens"]
+
+        def batch(found):
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)), _lists([x[5] for x in found], np.int64)], names)
+
+        found = stored(self._dealt(pairs, store).mapInArrow(self._against(each, batch), "id long, b long, n long, d long, far boolean, tokens array<long>"), "jaccard-moved")
+        rows = found.select("b", "id", "n", "d", "far", F.posexplode("tokens").alias("pos", "token"))
+        return found.where("not far").select(F.col("id").alias("a"), "b"), rows.select(F.xxhash64("b", "token").alias("g"), "id", "n", "d", "far", "pos")
+
     def _by_size(self, rows: DataFrame) -> DataFrame:
         """Groups split by set size: each row goes to its size class and the next, so that two sets of possible sizes meet.
 
@@ -244,13 +313,13 @@ class JaccardJoin:
         split = rows.withColumn("size_class", F.explode(F.array(step, step + 1)))
         least = F.greatest(F.exp((F.col("size_class") - 1) * width), F.col("n") * self.percent / 100)
         split = split.where(F.col("n") - F.col("pos") >= (F.col("n") + least) * self.percent / (100 + self.percent) - 0.001)
-        return split.select(F.xxhash64("g", "size_class").alias("g"), "id", "n", "pos")
+        return split.select(F.xxhash64("g", "size_class").alias("g"), "id", "n", "weight", "pos")
 
-    def _close(self, left: str, right: str, left_pos: str, right_pos: str):
-        """The sizes, and the places of the first shared token, allow the similarity."""
-        small, large = F.least(left, right), F.greatest(left, right)
-        room = F.least(F.col(left) - F.col(left_pos), F.col(right) - F.col(right_pos))
-        return (100 * small >= self.percent * large) & ((100 + self.percent) * room >= self.percent * (F.col(left) + F.col(right)))
+    def _close(self, one: str, other: str):
+        """The sizes, and the places of the first shared token, allow the similarity of two rows (prefixes of their columns)."""
+        (n, d, pos), (m, e, at) = ([F.col(f"{side}{c}") for c in ("n", "d", "pos")] for side in (one, other))
+        room = F.least(d - pos, e - at)
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * 2 * room >= (100 + self.percent) * (d + e) - (100 - self.percent) * (n + m))
 
     def membership(self) -> DataFrame:
         """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every document.
@@ -265,17 +334,12 @@ class JaccardJoin:
         shared = KeyFilter(met, "token").possible(prefixes, "token").join(met, "token").withColumnRenamed("token", "g")
         split = stored(self._by_size(shared), "jaccard-split")
         discard(prefixes, met)
-        leaders = split.groupBy("g").agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.max("id").alias("last"), F.count("*").alias("size")).where("lead.id <> last")
-        rows = stored(split.join(leaders.select("g", F.col("lead.id").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos"), "size"), "g"), "jaccard-rows")
+        rows = stored(self._led(split.select("g", "id", "n", F.col("n").alias("d"), F.lit(True).alias("far"), "weight", "pos")), "jaccard-rows")
         discard(split)
         store = self._store(rows.select("id"))
-        first = rows.where("id <> leader").where(self._close("n", "leader_n", "pos", "leader_pos")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-        links = stored(self._verified(first, store).unionByName(self._same_document()), "jaccard-linked")
-        labels = components(links)
-        rest = rows.where("size > 2 and id <> leader").select("g", "id", "n", "pos")
-        found = self._remaining(rest, links, labels, store)
+        links = stored(self._verified(self._to_leader(rows), store).unionByName(self._same_document()), "jaccard-linked")
+        labels = self._remaining(rows, links, store)
         discard(rows, store)
-        labels = components(links.unionByName(found))
         joined = self.classes.join(labels, "id").select("key", "doc_id", "component")
         least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         linked = joined.join(least, "component").select("key", "component_id")
@@ -295,50 +359,45 @@ class JaccardJoin:
         number = self.classes.select("key", "id")
         return rows.join(number.toDF("key", "a"), "key").join(number.toDF("lo", "b"), "lo").where("a <> b").select("a", "b")
 
-    @staticmethod
-    def _with_mode(rows: DataFrame) -> DataFrame:
-        """Adds each group's largest component and how many rows are outside it."""
-        sizes = rows.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.max_by("component", F.struct("k", "component")).alias("mode"), (F.sum("k") - F.max("k")).alias("others"))
-        return stored(rows.join(sizes, "g"), "jaccard-many")
+    def _led(self, rows: DataFrame) -> DataFrame:
+        """Adds to rows of groups of two classes or more the group's leader and size; the leader is the one of the commonest prefix."""
+        lead = F.max(F.struct("weight", "id", "n", "d", "pos"))
+        groups = rows.groupBy("g").agg(lead.alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        return rows.join(groups.select("g", F.col("lead.id").alias("leader"), *(F.col(f"lead.{c}").alias(f"leader_{c}") for c in ("n", "d", "pos")), "size"), "g")
 
-    def _meeting(self, rows: DataFrame, partners: DataFrame, ordered: bool = True) -> DataFrame:
-        """Pairs (a, b), a > b, of one group and two components whose sizes and places fit.
+    def _to_leader(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) of each class and its groups' leaders whose sizes and places fit."""
+        return rows.where((F.col("id") != F.col("leader")) & self._close("", "leader_")).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
 
-        ``ordered``: rows and partners are the same, so partners of smaller id are enough.
-        """
-        other = partners.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"), F.col("component").alias("b_component"))
-        met = ((F.col("id") > F.col("b")) if ordered else (F.col("id") != F.col("b"))) & (F.col("component") != F.col("b_component")) & self._close("n", "b_n", "pos", "b_pos")
-        mine = rows.select(F.col("g").alias("own"), "id", "n", "pos", "component")
-        return mine.join(other, (F.col("own") == F.col("g")) & met).select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-
-    def _remaining(self, rest: DataFrame, known: DataFrame, labels: DataFrame, store: DataFrame) -> DataFrame:
-        """Links between members of one group that belong to different components so far."""
-        links = rest.sparkSession.createDataFrame([], "a long, b long")
-        level = 0
-        while True:
-            open_ = rest.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")).select("g", "id", "n", "pos", "component")
-            mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("g", "size")
-            open_ = stored(open_.join(mixed, "g"), "jaccard-open")
-            if open_.isEmpty():
-                return links
-            pairs = self._meeting(few := open_.where(F.col("size") <= SMALL), few)
-            many = self._with_mode(open_.where(F.col("size") > SMALL))
-            # Where nearly all of a group is one component, only the few others meet the rest.
-            small_rest = many.where(F.col("others") <= SMALL)
-            pairs = pairs.unionByName(self._meeting(small_rest, small_rest.where("component <> mode"), ordered=False))
-            many = many.where(F.col("others") > SMALL)
-            if level < 2:
-                token = store.select("id", F.explode("second" if level == 0 else "third").alias("t"))
-                rest = many.select("g", "id", "n", "pos").join(token, "id").select(F.xxhash64("g", "t").alias("g"), "id", "n", "pos")
-            else:  # about LEADERS members of each group lead a round, until none is left
-                drawn = F.pmod(F.xxhash64("id", "g", F.lit(level)), F.ceil(F.col("size") / LEADERS)) == 0
-                pairs = pairs.unionByName(self._meeting(many, many.where(drawn), ordered=False))
-                rest = many.where(~drawn).select("g", "id", "n", "pos")
-            found = self._verified(pairs.distinct(), store)
-            links = links.unionByName(found)
-            if level >= 2:
-                labels = components(known.unionByName(links))
-            level += 1
+    def _meeting(self, rows: DataFrame) -> DataFrame:
+        """Pairs (a, b), a > b, of one group and two components whose sizes and places fit."""
+        columns = ("id", "n", "d", "far", "pos", "component")
+        mine = rows.select(F.col("g").alias("own"), *columns)
+        other = rows.select("g", *(F.col(c).alias(f"b_{c}") for c in columns))
+        met = (F.col("id") > F.col("b_id")) & (F.col("component") != F.col("b_component")) & (F.col("far") | F.col("b_far")) & self._close("", "b_")
+        return mine.join(other, (F.col("own") == F.col("g")) & met).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
+
+    @staticmethod
+    def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows, with their components, of groups of several components where a row is not similar to the leader."""
+        open_ = rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("far").alias("any_far")).where("lo <> hi and any_far").select("g")
+        return stored(open_.join(mixed, "g"), "jaccard-open")
+
+    def _remaining(self, rows: DataFrame, links: DataFrame, store: DataFrame) -> DataFrame:
+        """The components (id, component) once members of one group in different components have been compared."""
+        labels = components(links)
+        # The leader has been compared with all others of its group.
+        open_ = self._mixed(rows.where("size > 2 and id <> leader").drop("leader_n", "leader_d", "leader_pos"), labels)
+        if open_.isEmpty():
+            return labels
+        links = links.unionByName(self._verified(self._meeting(open_.where(F.col("size") <= SMALL)), store))
+        pairs = stored(open_.where(F.col("size") > SMALL).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "jaccard-pairs")
+        if not pairs.isEmpty():
+            near, moved = self._moved(pairs, store)
+            links = links.unionByName(near)
+            links = links.unionByName(self._verified(self._meeting(self._mixed(moved, components(links))), store))
+        return components(links)
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:

@@ -298,6 +298,43 @@ def test_jaccard_join_against_brute_force(spark, documents, monkeypatch):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_jaccard_join_of_unlinked_copies(spark, monkeypatch):
+    """Copies of one text, nearly all too far apart to link, are not compared in pairs."""
+    r = np.random.default_rng(12)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for k in range(200):
+        words = list(base)
+        for at in r.choice(150, 2, replace=False):
+            words[at] = f"own{k}-{at}"
+        rows.append((k, " ".join(words)))
+        if k % 20 == 0:
+            rows.append((1000 + k, " ".join([*words[:-1], "end"])))
+    met, meeting = [], jaccard.JaccardJoin._meeting
+
+    def counted(*given, **named):
+        met.append((pairs := meeting(*given, **named)).count())
+        return pairs
+
+    monkeypatch.setattr(jaccard.JaccardJoin, "_meeting", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90) and sum(met) < 10 * len(rows), met
+
+
+def test_shared_at_least():
+    """Every similar pair of which one is not similar to the leader shares as many tokens as both sides assume."""
+    r = np.random.default_rng(13)
+    for percent in (60, 80, 90):
+        for _ in range(4000):
+            pool = int(r.integers(3, 40))
+            leader, one = ({*r.choice(pool + 2, pool, replace=False).tolist()} for _ in range(2))
+            other = {t for t in one if r.random() < 0.95} | {*r.integers(0, pool + 4, int(r.integers(0, 3))).tolist()}
+            similar = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+            if other and similar(one, other) and not (similar(one, leader) and similar(other, leader)):
+                shared = len((one ^ leader) & (other ^ leader))
+                assert all(1 <= jaccard.shared_at_least(len(x), len(x ^ leader), len(leader), not similar(x, leader), percent) <= shared for x in (one, other))
+
+
 def test_shingles_against_plain_sets():
     draw = np.random.default_rng(10)
     made = ["", "a", "A b", "\n x\ty  z w", "é É ü ß", "x" * 9 + " " + "y" * 8 + " " + "z" * 7, "x" * 3000 + " b c", "x" * 3001 + " b c"]
