@@ -80,8 +80,9 @@ class KeyFilter:
 
     MOST_BITS = 27
 
-    def __init__(self, keys: DataFrame, *columns: str):
-        self.size = 1 << min(max((8 * keys.count()).bit_length(), 15), self.MOST_BITS)
+    def __init__(self, keys: DataFrame, *columns: str, bits: int = 8):
+        """``bits``: about so many for each key, as far as the filter may grow."""
+        self.size = 1 << min(max((bits * keys.count()).bit_length(), 15), self.MOST_BITS)
         place = (F.pmod(F.xxhash64(*columns), F.lit(self.size)) + 1).alias("p")
         self.bits = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("_filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_filter_bits"))
 

@@ -27,7 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import KeyFilter, arrow_map, discard, slices, stored, texts, trimmed
@@ -36,8 +36,10 @@ from .shingles import Sets, mix
 
 #: Groups up to this size are joined with themselves; sizes and positions are tested inside the join.
 SMALL = 8
-#: Cells by which the tokens of a set are counted for the filter before the exact test.
-CELLS = 32
+#: Least and most cells by which the tokens of a set are counted for the filter before the exact test.
+CELLS, MOST_CELLS = 32, 2048
+#: A cell counts at most this many tokens: cut counts differ by no more than whole ones.
+FULL = 127
 #: Rows compared with one leader in one task.
 SALT_ROWS = 64
 #: Tokens that the orders know to be common, and the cells of the table that holds their levels; others count as equally rare.
@@ -124,6 +126,29 @@ def _common_tokens(seen: DataFrame) -> Order:
     return Order(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(bytes(r.token), "<u4") for r in packed)]), np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(bytes(r.level), np.uint8) for r in packed)]))
 
 
+def by_cell(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens lie in each cell, ``FULL`` at most; cells of adjacent numbers make one of a smaller set.
+
+    Unrelated sets of n tokens differ by about 1.1 sqrt(n cells), similar ones by
+    at most 2 n (1 - t) / (1 + t), so the cells grow with the size.
+    """
+    wanted = len(tokens) * (4 * (100 - percent) / (100 + percent)) ** 2
+    bits = min(max(math.ceil(math.log2(max(wanted, 1))), CELLS.bit_length() - 1), MOST_CELLS.bit_length() - 1)
+    return np.minimum(np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), FULL)
+
+
+def _apart(one: str, other: str) -> Column:
+    """The sum of the differences by cell of two columns of cells, in as many as the smaller has."""
+    least = F.least(F.size(one), F.size(other))
+
+    def merged(name: str) -> Column:
+        width = (F.size(name) / least).cast("int")
+        added = F.transform(F.sequence(F.lit(0), least - 1), lambda i: F.least(F.aggregate(F.slice(name, i * width + 1, width), F.lit(0), lambda total, x: total + x), F.lit(FULL)))
+        return F.when(width > 1, added).otherwise(F.col(name).cast("array<int>"))
+
+    return F.aggregate(F.zip_with(merged(one), merged(other), lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
+
+
 def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)))
@@ -186,8 +211,8 @@ class JaccardJoin:
         named = self.sets.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
         self.classes = stored(named.select("key", "first.doc_id", "first.text_hash", F.monotonically_increasing_id().alias("id")), "jaccard-classes")
 
-    def _prefixes(self) -> DataFrame:
-        """token, id, n, weight, pos: prefix tokens of every class and their places; weight: their mean level."""
+    def _measured(self) -> DataFrame:
+        """id, n, weight, tokens and cells of every class: its prefix tokens in their order, their mean level, and its tokens by cell."""
         words, order, percent = self.words, self.order, self.percent
 
         def run(batch: pa.RecordBatch) -> dict:
@@ -198,42 +223,32 @@ class JaccardJoin:
                     seen[key] = (doc_id, row)
             rows = [row for _, row in seen.values()]
             found = [order.first(sets[row], order.level(sets[row]), prefix_size(int(sets.sizes[row]), percent)) for row in rows]
-            return {"doc_id": [i for i, _ in seen.values()], "key": list(seen), "n": sets.sizes[rows], "weight": [w for _, w in found], "tokens": _lists([t for t, _ in found], np.int64)}
+            return {"doc_id": [i for i, _ in seen.values()], "key": list(seen), "n": sets.sizes[rows], "weight": [w for _, w in found], "tokens": _lists([t for t, _ in found], np.int64), "cells": _lists([by_cell(sets[row], percent) for row in rows], np.int8)}
 
-        found = arrow_map(self.docs, run, "doc_id long, key binary, n long, weight int, tokens array<long>", most=TEXT_BYTES)
+        found = arrow_map(self.docs, run, "doc_id long, key binary, n long, weight int, tokens array<long>, cells array<tinyint>", most=TEXT_BYTES)
         named = found.join(self.classes.select("key", "doc_id", "id"), ["key", "doc_id"])
-        once = named.dropDuplicates(["key", "doc_id"])  # repeated rows make one class
-        return once.select(F.posexplode("tokens").alias("pos", "token"), "id", "n", "weight")
+        return named.dropDuplicates(["key", "doc_id"]).select("id", "n", "weight", "tokens", "cells")  # repeated rows make one class
 
-    def _store(self, ids: DataFrame) -> DataFrame:
-        """id, n, packed text and the tokens by cell of the classes in ``ids``."""
-        words = self.words
-        wanted = stored(self.classes.join(ids.distinct(), "id").select("id", "doc_id", "text_hash"), "jaccard-wanted")
+    def _dealt(self, pairs: DataFrame) -> DataFrame:
+        """b, kind (0: the leader itself), id and packed text of pairs (a, b), so that a's partners stream past b.
 
-        def run(batch: pa.RecordBatch) -> dict:
+        Rows are dealt by (b, salt): a leader with many partners is repeated for
+        each salt.  Only texts of classes in the pairs are moved.
+        """
+
+        def pack(batch: pa.RecordBatch) -> dict:
             import zstandard
 
             pack = zstandard.ZstdCompressor(level=3).compress
-            sets = Sets(batch.column("text"), words)
-            cells = [np.bincount((sets[row] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for row in range(len(sets))]
-            return {"id": batch.column("id"), "n": sets.sizes, "text": [pack(t.as_buffer()) for t in batch.column("text")], "cells": _lists(cells, np.int32)}
+            return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "text": [pack(t.as_buffer()) for t in batch.column("text")]}
 
-        near = KeyFilter(wanted, "doc_id", "text_hash").possible(self.docs, "doc_id", "text_hash")
-        rows = near.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text")
-        made = stored(arrow_map(rows, run, "id long, n long, text binary, cells array<int>", most=TEXT_BYTES), "jaccard-store")
-        discard(wanted)
-        return made
-
-    def _dealt(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
-        """b, kind (0: the leader itself), id and text of pairs (a, b), so that a's partners stream past b.
-
-        Rows are dealt by (b, salt): a leader with many partners is repeated for
-        each salt.
-        """
         salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
         members = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.col("a").alias("id"), F.lit(1).alias("kind"))
         leaders = salts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("b").alias("id"), F.lit(0).alias("kind"))
-        rows = members.unionByName(leaders).join(store.select("id", "text"), "id")
+        dealt = stored(members.unionByName(leaders).join(self.classes.select("id", "doc_id", "text_hash"), "id"), "jaccard-dealt")
+        near = KeyFilter(dealt, "doc_id", "text_hash", bits=64).possible(self.docs, "doc_id", "text_hash")
+        packed = arrow_map(near, pack, "doc_id long, text_hash long, text binary", most=TEXT_BYTES).dropDuplicates(["doc_id", "text_hash"])
+        rows = dealt.join(packed, ["doc_id", "text_hash"]).select("b", "salt", "kind", "id", "text")
         return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
 
     def _against(self, each, gather):
@@ -258,13 +273,12 @@ class JaccardJoin:
 
         return trimmed(run)
 
-    def _verified(self, pairs: DataFrame, store: DataFrame) -> DataFrame:
+    def _verified(self, pairs: DataFrame, measured: DataFrame) -> DataFrame:
         """Pairs (a, b) whose tokens by cell allow the similarity and that pass the exact test."""
         percent = self.percent
-        sketch = store.select("id", "n", "cells")
+        sketch = measured.select("id", "n", "cells")
         both = pairs.join(sketch.toDF("a", "a_n", "a_cells"), "a").join(sketch.toDF("b", "b_n", "b_cells"), "b")
-        apart = F.aggregate(F.zip_with("a_cells", "b_cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda total, x: total + x)
-        passed = stored(both.where((100 + percent) * apart.cast("long") <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "jaccard-candidates")
+        passed = stored(both.where((100 + percent) * _apart("a_cells", "b_cells").cast("long") <= (100 - percent) * (F.col("a_n") + F.col("b_n"))).select("a", "b"), "jaccard-candidates")
 
         def each(number, own, b, tokens):
             return (number, b) if _similar(own, tokens, percent) else None
@@ -272,11 +286,11 @@ class JaccardJoin:
         def batch(found):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        links = stored(self._dealt(passed, store).mapInArrow(self._against(each, batch), "a long, b long"), "jaccard-links")
+        links = stored(self._dealt(passed).mapInArrow(self._against(each, batch), "a long, b long"), "jaccard-links")
         discard(passed)
         return links
 
-    def _moved(self, pairs: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _moved(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of every a in pairs (a, b), moved to b: the links (a, b); and g, id, n, d, far and pos of the prefixes of D."""
         percent, order = self.percent, self.order
 
@@ -296,7 +310,7 @@ class JaccardJoin:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
             return pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)), _lists([x[5] for x in found], np.int64)], names)
 
-        found = stored(self._dealt(pairs, store).mapInArrow(self._against(each, batch), "id long, b long, n long, d long, far boolean, tokens array<long>"), "jaccard-moved")
+        found = stored(self._dealt(pairs).mapInArrow(self._against(each, batch), "id long, b long, n long, d long, far boolean, tokens array<long>"), "jaccard-moved")
         rows = found.select("b", "id", "n", "d", "far", F.posexplode("tokens").alias("pos", "token"))
         return found.where("not far").select(F.col("id").alias("a"), "b"), rows.select(F.xxhash64("b", "token").alias("g"), "id", "n", "d", "far", "pos")
 
@@ -329,17 +343,17 @@ class JaccardJoin:
         belong to one component.  Other columns are left out; an empty table
         gives an empty one.  One row per input row.
         """
-        prefixes = stored(self._prefixes(), "jaccard-prefixes")
+        measured = stored(self._measured(), "jaccard-prefixes")
+        prefixes = measured.select(F.posexplode("tokens").alias("pos", "token"), "id", "n", "weight")
         met = stored(prefixes.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token"), "jaccard-groups")
         shared = KeyFilter(met, "token").possible(prefixes, "token").join(met, "token").withColumnRenamed("token", "g")
         split = stored(self._by_size(shared), "jaccard-split")
-        discard(prefixes, met)
+        discard(met)
         rows = stored(self._led(split.select("g", "id", "n", F.col("n").alias("d"), F.lit(True).alias("far"), "weight", "pos")), "jaccard-rows")
         discard(split)
-        store = self._store(rows.select("id"))
-        links = stored(self._verified(self._to_leader(rows), store).unionByName(self._same_document()), "jaccard-linked")
-        labels = self._remaining(rows, links, store)
-        discard(rows, store)
+        links = stored(self._verified(self._to_leader(rows), measured).unionByName(self._same_document()), "jaccard-linked")
+        labels = self._remaining(rows, links, measured)
+        discard(rows, measured)
         joined = self.classes.join(labels, "id").select("key", "doc_id", "component")
         least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         linked = joined.join(least, "component").select("key", "component_id")
@@ -384,19 +398,19 @@ class JaccardJoin:
         mixed = open_.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("far").alias("any_far")).where("lo <> hi and any_far").select("g")
         return stored(open_.join(mixed, "g"), "jaccard-open")
 
-    def _remaining(self, rows: DataFrame, links: DataFrame, store: DataFrame) -> DataFrame:
+    def _remaining(self, rows: DataFrame, links: DataFrame, measured: DataFrame) -> DataFrame:
         """The components (id, component) once members of one group in different components have been compared."""
         labels = components(links)
         # The leader has been compared with all others of its group.
         open_ = self._mixed(rows.where("size > 2 and id <> leader").drop("leader_n", "leader_d", "leader_pos"), labels)
         if open_.isEmpty():
             return labels
-        links = links.unionByName(self._verified(self._meeting(open_.where(F.col("size") <= SMALL)), store))
+        links = links.unionByName(self._verified(self._meeting(open_.where(F.col("size") <= SMALL)), measured))
         pairs = stored(open_.where(F.col("size") > SMALL).select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "jaccard-pairs")
         if not pairs.isEmpty():
-            near, moved = self._moved(pairs, store)
+            near, moved = self._moved(pairs)
             links = links.unionByName(near)
-            links = links.unionByName(self._verified(self._meeting(self._mixed(moved, components(links))), store))
+            links = links.unionByName(self._verified(self._meeting(self._mixed(moved, components(links))), measured))
         return components(links)
 
 

@@ -321,6 +321,46 @@ def test_jaccard_join_of_unlinked_copies(spark, monkeypatch):
     assert got == brute_components(rows, 3, 90) and sum(met) < 10 * len(rows), met
 
 
+def test_jaccard_join_moves_texts_of_candidates_only(spark, monkeypatch):
+    """Texts that share a passage, but whose tokens by cell are too far apart, are neither stored nor dealt."""
+    rows = []
+    for k in range(40):
+        common = [f"both{k}-{i}" for i in range(25)]
+        rows += [(i, " ".join([*common, *(f"own{i}-{j}" for j in range(40))])) for i in (k, 1000 + k)]
+    base = [f"w{i}" for i in range(200)]
+    rows += [(500, " ".join(base)), (1500, " ".join([*base[:-1], "end"]))]
+    texts, stored, dealt = [], jaccard.stored, jaccard.JaccardJoin._dealt
+
+    def counted(made):
+        if "text" in made.columns:
+            texts.append(made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "stored", lambda *given: counted(stored(*given)))
+    monkeypatch.setattr(jaccard.JaccardJoin, "_dealt", lambda *given: counted(dealt(*given)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(docs, 3, 90).collect()}
+    assert got == brute_components(rows, 3, 90) and got[1500][1] == 500
+    assert texts and sum(texts) < 10, texts
+
+
+def test_tokens_by_cell(spark):
+    """Counts by cell never differ by more than the sets, and tell long sets apart that have little in common."""
+    r = np.random.default_rng(14)
+    pairs = []
+    for percent in (20, 60, 90):
+        for n, kept in itertools.product((1, 30, 700, 1100, 9000), (0.0, 0.5, 0.95, 1.0)):
+            one = r.integers(0, 1 << 64, n, dtype=np.uint64)
+            other = np.concatenate([one[: int(n * kept)], r.integers(0, 1 << 64, int(r.integers(1, n + 20)), dtype=np.uint64)])
+            pairs.append((percent, n, len(other), kept, len({*one.tolist()} ^ {*other.tolist()}), *(jaccard.by_cell(x, percent).tolist() for x in (one, other))))
+    full = np.arange(40000, dtype=np.uint64)  # all in one cell
+    pairs.append((90, 40000, 300, 0.0, 39700, *(jaccard.by_cell(x, 90).tolist() for x in (full, full[:300]))))
+    made = spark.createDataFrame(pairs, "percent int, n int, m int, kept double, apart int, a array<int>, b array<int>")
+    got = made.select("*", jaccard._apart("a", "b").alias("seen"), F.size("a").alias("a_cells"), F.size("b").alias("b_cells")).collect()
+    assert all(0 <= x.seen <= x.apart for x in got) and any(x.a_cells > 2 * x.b_cells for x in got) and any(x.a_cells < x.b_cells for x in got)
+    assert all(190 * x.seen > 10 * (x.n + x.m) for x in got if x.percent == 90 and x.n == 9000 and x.kept < 0.6)
+
+
 def test_shared_at_least():
     """Every similar pair of which one is not similar to the leader shares as many tokens as both sides assume."""
     r = np.random.default_rng(13)
