@@ -7,8 +7,9 @@ documents and no padding is ever needed.
 
 Ids come from the JSON tokenizer with its own settings, added tokens found in
 texts included.  Its byte-level split always begins a match at the last white
-space before a word, so texts are cut there and a chunk that comes again is
-looked up: the ids are those of the whole text, at a bounded memory.
+space before a word and after letters that a mark or white space ends, so texts
+are cut there and a chunk that comes again is looked up, whatever marks follow
+it: the ids are those of the whole text, at a bounded memory.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from .common import arrow_map, texts
 END_ID = 1
 #: What the byte-level split takes for white space.
 _SPACE = "\t-\r \x85\xa0  -     　"
-_CHUNK = re.compile(f"[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])")
+#: Some of its letters, and ASCII marks, which are none of its letters and numbers: a match ends between the two.
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+_CHUNK = re.compile(f"[{_SPACE}]?[{_LETTER}]++(?![^{_MARK}{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])")
 #: Chunks of each of the two generations that a worker keeps, their longest, and how many are encoded at once.
 KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 150_000, 64, 256
 

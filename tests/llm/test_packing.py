@@ -31,3 +31,18 @@ def test_chunks_have_the_ids_of_whole_texts(monkeypatch):
     encoder = packing.ChunkEncoder(TOKENIZER)
     got = [ids for at in range(0, len(made), 100) for ids in encoder.encode(made[at : at + 100])]
     assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in made]
+
+
+def test_words_are_learned_once_whatever_marks_follow():
+    encoder = packing.ChunkEncoder(TOKENIZER)
+    encoder.encode([" alpha größe alpha, größe. alpha's größe) alpha!? größe"])
+    assert {c for c in encoder.young if "a" in c or "ö" in c} == {" alpha", " größe"}
+
+
+def test_chunks_end_only_where_a_match_ends():
+    tokenizer, draw = Tokenizer.from_file(TOKENIZER), np.random.default_rng(7)
+    alphabet = [*"abzÀÖ×Øö÷øÿŁłªµºß09¼²_'-.,!?`{}[]^\\/@<>|~…—’“«»́­‍\n\t", " ", " ", "'s", "'ll", "'", "word", "größe"]
+    made = ["".join(draw.choice(alphabet, int(draw.integers(1, 16)))) for _ in range(6000)]
+    encoder = packing.ChunkEncoder(TOKENIZER)
+    got = [ids for at in range(0, len(made), 100) for ids in encoder.encode(made[at : at + 100])]
+    assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in made]
