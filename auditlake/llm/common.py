@@ -18,6 +18,8 @@ SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
 ARROW_BYTES = 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
+#: What this process keeps for later tasks: by owner, how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -124,25 +126,44 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BYTES))
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which gives back freed memory at its end: Spark keeps idle workers for later stages."""
+def give_back() -> None:
+    """Return freed memory to the system."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
+def keep(owner: str, let_go: Callable[[], None]) -> None:
+    """``owner`` keeps something in this process until a task of another owner begins, which calls ``let_go``."""
+    _kept[owner] = let_go
 
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ctypes
-        import gc
 
+def let_go_of_others(owner: str = "") -> None:
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        give_back()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives back freed memory at its end, and what other owners keep at its beginning: Spark keeps idle workers for later stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go_of_others(owner)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return wrapped
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str, column: str = "text", most: int = SLICE_BYTES) -> DataFrame:
-    """``function`` maps a bounded slice to columns; Arrow batches in and out, no row objects."""
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, object]], schema: str, column: str = "text", most: int = SLICE_BYTES, owner: str = "") -> DataFrame:
+    """``function`` maps a bounded slice to columns; Arrow batches in and out, no row objects.  ``owner``: whose kept things it uses."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -155,7 +176,7 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], dict[str, obje
                 made = function(part)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in target], schema=target)
 
-    return df.mapInArrow(trimmed(run), struct)
+    return df.mapInArrow(trimmed(run, owner), struct)
 
 
 def arrow_rows(df: DataFrame, function: Callable[[pa.RecordBatch, list[str | None]], pa.RecordBatch], column: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, texts
+from .common import arrow_map, keep, texts
 
 END_ID = 1
 #: What the byte-level split takes for white space.
@@ -97,6 +97,7 @@ class ChunkEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
+    keep("packing", encoder.cache_clear)
     return ChunkEncoder(path)
 
 
@@ -133,7 +134,7 @@ def pack(docs: DataFrame, tokenizer_file: str, longest: int = 2048, with_ids: bo
                 start += length
         return out
 
-    pieces = arrow_map(texts(docs), run, "doc_id long, doc_tokens long, start long, length long, bucket int, ids_crc32 long, ids binary")
+    pieces = arrow_map(texts(docs), run, "doc_id long, doc_tokens long, start long, length long, bucket int, ids_crc32 long, ids binary", owner="packing")
     pieces = pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return pieces if with_ids else pieces.drop("ids")
 

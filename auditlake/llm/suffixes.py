@@ -20,11 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, stored, trimmed
+from .common import bounded, give_back, keep, stored, trimmed
 
 GRAM = 24
 BLOCK_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
+#: Windows whose keys are computed at once.
+KEYS_AT_ONCE = 1 << 17
 
 
 # ---- suffix array ---------------------------------------------------------
@@ -77,10 +79,13 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     n = len(data)
     if n < 2:
         return np.arange(n)
-    step = np.concatenate([np.sign(data[1:].astype(np.int16) - data[:-1]), [-1]])
-    decided = np.where(step != 0, np.arange(n), n)
+    kind = np.int32 if n < 1 << 31 else np.int64
+    step = np.concatenate([np.sign(data[1:].astype(np.int16) - data[:-1]).astype(np.int8), np.array([-1], np.int8)])
+    decided = np.arange(n, dtype=kind)
+    decided[step == 0] = n - 1
     decided = np.minimum.accumulate(decided[::-1])[::-1]
     small = step[decided] > 0
+    del step, decided
     ordered = _sort_directly(_words(data), np.flatnonzero(small), depth)
     cuts = np.searchsorted(data[ordered], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -159,6 +164,18 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if span < width else values
 
 
+def _window_keys(raw: np.ndarray, length: int) -> np.ndarray:
+    """The smallest hash of the strings of ``GRAM`` bytes in each window."""
+    words = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))
+    gram = words[: len(raw) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
+    for offset in range(8, GRAM, 8):
+        gram ^= gram >> np.uint64(29)
+        gram += words[offset : offset + len(gram)]
+        gram *= np.uint64(0xBF58476D1CE4E5B9)
+    gram ^= gram >> np.uint64(32)
+    return _slide(gram, length - GRAM + 1)
+
+
 class Runs:
     """Maximal runs of windows of one block that share document and key: windows first to last."""
 
@@ -169,16 +186,10 @@ class Runs:
         self.key = np.empty(0, np.uint64)
         if n < length:
             return
-        # Eight bytes a byte of text: few such arrays are held at once.
-        words = np.ndarray(n - 7, "<u8", raw, 0, (1,))
-        gram = words[: n - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
-        for offset in range(8, GRAM, 8):
-            gram ^= gram >> np.uint64(29)
-            gram += words[offset : offset + len(gram)]
-            gram *= np.uint64(0xBF58476D1CE4E5B9)
-        gram ^= gram >> np.uint64(32)
-        key = _slide(gram, length - GRAM + 1)
-        del gram
+        key = np.empty(n - length + 1, np.uint64)  # the only array of eight bytes a byte of text
+        for at in range(0, len(key), KEYS_AT_ONCE):
+            to = min(at + KEYS_AT_ONCE, len(key))
+            key[at:to] = _window_keys(raw[at : to + length - 1], length)
         starts = np.concatenate([[0], ends[:-1]])
         edge = np.zeros(n + 1, np.int32)
         fits = ends - starts >= length
@@ -340,6 +351,7 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
             hit = np.isin(own, twice, assume_unique=True)
             if hit.any():
                 rows.append((block, table.column("bucket")[0].as_py(), np.packbits(hit).tobytes()))
+        keep("groups", give_back)
         return pa.Table.from_batches([_batch(rows, [("block", pa.int64()), ("bucket", pa.int64()), ("bits", pa.binary())])])
 
     met = blocks.select("block", "ids", "ends", "data").mapInArrow(trimmed(keys), "bucket long, block long, keys binary").groupBy("bucket").applyInArrow(meet, "block long, bucket long, bits binary")
@@ -390,32 +402,36 @@ def _rounds(docs: DataFrame, length: int, finish, shape, rest: list[str] | None
                     out += [(number, a, b - a) for a, b in edge.reshape(-1, 2).tolist()]
             if out:
                 rows.append((block, np.array(out, "<i8").tobytes()))
+        keep("groups", give_back)
         return pa.Table.from_batches([_batch(rows, [("block", pa.int64()), ("removed", pa.binary())])])
 
     with_bits = blocks.join(bits, "block", "left")
     found = with_bits.drop("rest").mapInArrow(trimmed(strings), "bucket long, block long, entry binary, key binary, least binary, sizes binary, strings binary")
     removed = found.groupBy("bucket").applyInArrow(suffix_stage, "block long, removed binary").groupBy("block").agg(F.collect_list("removed").alias("removed"))
 
+    def gone(ids, ends, data, row):
+        runs = Runs(data, ends, length)
+        chosen = _shared_runs(runs, ids, buckets, row["bits"] or [])
+        entries = Entries(data, runs, chosen, ids, length, buckets)
+        edge = np.zeros(len(data) + 1, np.int32)
+        # What a smaller document of the same block has is removed outright.
+        later = chosen[ids[runs.doc[chosen]] > entries.least[entries.of_run]]
+        np.add.at(edge, runs.first[later], 1)
+        np.add.at(edge, runs.last[later] + length, -1)
+        told = np.concatenate([np.frombuffer(r, "<i8").reshape(-1, 3) for r in row["removed"]]) if row["removed"] else np.empty((0, 3), np.int64)
+        told = told[np.argsort(told[:, 0], kind="stable")]
+        lo, hi = np.searchsorted(told[:, 0], entries.of_run, side="left"), np.searchsorted(told[:, 0], entries.of_run, side="right")
+        many = hi - lo
+        pick = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.empty(0, np.int64)
+        begin = np.repeat(runs.first[chosen], many) + told[pick, 1]
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + told[pick, 2] + length - 1, -1)
+        return np.cumsum(edge, out=edge)[: len(data)] > 0
+
     def apply(batches):
         for batch in batches:
             for _, ids, ends, data, row in _open(batch):
-                runs = Runs(data, ends, length)
-                chosen = _shared_runs(runs, ids, buckets, row["bits"] or [])
-                entries = Entries(data, runs, chosen, ids, length, buckets)
-                edge = np.zeros(len(data) + 1, np.int64)
-                # What a smaller document of the same block has is removed outright.
-                later = chosen[ids[runs.doc[chosen]] > entries.least[entries.of_run]]
-                np.add.at(edge, runs.first[later], 1)
-                np.add.at(edge, runs.last[later] + length, -1)
-                told = np.concatenate([np.frombuffer(r, "<i8").reshape(-1, 3) for r in row["removed"]]) if row["removed"] else np.empty((0, 3), np.int64)
-                told = told[np.argsort(told[:, 0], kind="stable")]
-                lo, hi = np.searchsorted(told[:, 0], entries.of_run, side="left"), np.searchsorted(told[:, 0], entries.of_run, side="right")
-                many = hi - lo
-                pick = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.empty(0, np.int64)
-                begin = np.repeat(runs.first[chosen], many) + told[pick, 1]
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, begin + told[pick, 2] + length - 1, -1)
-                yield from finish(ids, ends, data, np.cumsum(edge)[: len(data)] > 0, row["rest"])
+                yield from finish(ids, ends, data, gone(ids, ends, data, row), row["rest"])
 
     return with_bits.join(removed, "block", "left").mapInArrow(trimmed(apply), shape)
 

@@ -459,3 +459,30 @@ def test_crf_gradient():
             losses.append(pii.loss_and_gradient(net, coded, tags)[0])
         net.p[name][at] = value
         assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grad[name][at], abs=1e-6)
+
+
+def test_a_worker_lets_go_of_what_other_operators_keep():
+    from auditlake.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.encoder(path)
+    list(common.trimmed(iter, "packing")(iter(())))
+    assert packing.encoder(path) is encoder
+    list(common.trimmed(iter)(iter(())))
+    assert packing.encoder.cache_info().currsize == 0
+
+
+def test_memory_of_window_keys():
+    import tracemalloc
+
+    data = np.random.default_rng(3).integers(97, 123, 1 << 20, np.uint8).tobytes()
+    tracemalloc.start()
+    runs = suffixes.Runs(data, np.array([len(data)]), 50)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 22 * len(data), most / len(data)
+    raw = np.frombuffer(data, np.uint8)
+    at = suffixes.KEYS_AT_ONCE - 100
+    key = suffixes._window_keys(raw[at : at + 249], 50)
+    run = np.searchsorted(runs.first, np.arange(at, at + 200), side="right") - 1
+    assert (runs.key[run] == key).all() and (runs.last[run] >= np.arange(at, at + 200)).all()
