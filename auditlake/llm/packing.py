@@ -34,6 +34,8 @@ _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 _CHUNK = re.compile(f"[{_SPACE}]?[{_LETTER}]++(?![^{_MARK}{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])")
 #: Chunks of each of the two generations that a worker keeps, their longest, and how many are encoded at once.
 KEPT_CHUNKS, KEPT_CHARS, AT_ONCE = 150_000, 64, 256
+#: Bytes of text cut at once: the chunks of a slice take many times its size.
+CUT_BYTES = 1 << 20
 
 
 class ChunkEncoder:
@@ -134,7 +136,7 @@ def pack(docs: DataFrame, tokenizer_file: str, longest: int = 2048, with_ids: bo
                 start += length
         return out
 
-    pieces = arrow_map(texts(docs), run, "doc_id long, doc_tokens long, start long, length long, bucket int, ids_crc32 long, ids binary", owner="packing")
+    pieces = arrow_map(texts(docs), run, "doc_id long, doc_tokens long, start long, length long, bucket int, ids_crc32 long, ids binary", most=CUT_BYTES, owner="packing")
     pieces = pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return pieces if with_ids else pieces.drop("ids")
 
