@@ -73,6 +73,16 @@ def discard(*tables: DataFrame) -> None:
         _made.remove((table.sparkSession, table.scratch_path))
 
 
+def slim(spark: SparkSession) -> None:
+    """Have the executors collect their garbage, one task for each core, so that they give freed heap and buffers back to the system.
+
+    A heap keeps the size that an earlier stage made it grow to, and what the
+    Python workers of the next one need comes on top of it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 class KeyFilter:
     """A Bloom filter of one hash over the keys of a table: at most 2^27 bits (16 MB), so it can be broadcast.
 
@@ -86,15 +96,19 @@ class KeyFilter:
         """``bits``: about so many for each key, as far as the filter may grow."""
         self.size = 1 << min(max((bits * keys.count()).bit_length(), 15), self.MOST_BITS)
         place = (F.pmod(F.xxhash64(*columns), F.lit(self.size)) + 1).alias("p")
-        self.bits = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("_filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_filter_bits"))
+        bits_of = keys.select(place).groupBy(F.bitmap_bucket_number("p").alias("_filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_filter_bits"))
+        # Words of four bytes, made once for each bucket: a test of a row then makes no text, whose garbage made heaps grow.
+        words = "transform(transform(sequence(0, 1023), i -> cast(conv(hex(substring(_filter_bits, i * 4 + 1, 4)), 16, 10) as bigint)), w -> cast(w - if(w >= 2147483648, 4294967296, 0) as int))"
+        self.bits = bits_of.select("_filter_bucket", F.expr(words).alias("_filter_words"))
 
     def marked(self, df: DataFrame, *columns: str) -> DataFrame:
         """``df`` with a boolean column ``_filter_hit``: false only where the keys are not in the table."""
         placed = df.withColumn("_filter_place", F.pmod(F.xxhash64(*columns), F.lit(self.size)) + 1)
-        placed = placed.withColumn("_filter_at", F.bitmap_bit_position("_filter_place"))
+        placed = placed.withColumn("_filter_at", F.bitmap_bit_position("_filter_place").cast("int"))
         joined = placed.join(F.broadcast(self.bits), F.bitmap_bucket_number("_filter_place") == F.col("_filter_bucket"), "left")
-        hit = F.expr("coalesce(shiftright(cast(conv(hex(substring(_filter_bits, cast(_filter_at div 8 as int) + 1, 1)), 16, 10) as int), cast(_filter_at % 8 as int)) & 1, 0) = 1")
-        return joined.withColumn("_filter_hit", hit).drop("_filter_place", "_filter_at", "_filter_bucket", "_filter_bits")
+        # The first of a word's bytes is its highest, the first of a byte's bits its lowest.
+        hit = F.expr("coalesce(shiftright(get(_filter_words, shiftright(_filter_at, 5)), 24 - (_filter_at & 24) + (_filter_at & 7)) & 1, 0) = 1")
+        return joined.withColumn("_filter_hit", hit).drop("_filter_place", "_filter_at", "_filter_bucket", "_filter_words")
 
     def possible(self, df: DataFrame, *columns: str) -> DataFrame:
         return self.marked(df, *columns).where("_filter_hit").drop("_filter_hit")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, arrow_map, discard, slices, stored, texts, trimmed
+from .common import KeyFilter, arrow_map, discard, slices, slim, stored, texts, trimmed
 from .graph import components
 from .shingles import Sets, mix
 
@@ -173,6 +173,7 @@ class JaccardJoin:
         if not 0 < percent <= 100:
             raise ValueError("the similarity is a percentage above 0")
         self.words, self.percent = words, percent
+        slim(docs.sparkSession)
         self.docs = texts(docs).withColumn("text_hash", F.xxhash64("text"))
 
         def measure(batches):
@@ -351,6 +352,7 @@ class JaccardJoin:
         discard(met)
         rows = stored(self._led(split.select("g", "id", "n", F.col("n").alias("d"), F.lit(True).alias("far"), "weight", "pos")), "jaccard-rows")
         discard(split)
+        slim(rows.sparkSession)
         links = stored(self._verified(self._to_leader(rows), measured).unionByName(self._same_document()), "jaccard-linked")
         labels = self._remaining(rows, links, measured)
         discard(rows, measured)

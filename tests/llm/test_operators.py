@@ -1,6 +1,7 @@
 """Small tests of every operator: brute force, round trips, and odd inputs."""
 
 import collections
+import gc
 import hashlib
 import itertools
 import re
@@ -403,6 +404,35 @@ def test_key_filter(spark):
     assert sum(r._filter_hit for r in rows) < 1600 and common.KeyFilter(keys.where("false"), "k").possible(keys, "k").count() == 0
 
 
+def test_key_filter_tests_the_bits_of_its_keys_without_text(spark):
+    keys, rows = spark.range(0, 40000, 7).toDF("k"), spark.range(-5000, 60000).toDF("k")
+    made = common.KeyFilter(keys, "k")
+    place = F.pmod(F.xxhash64("k"), F.lit(made.size)).alias("p")
+    expected = {r.k for r in rows.select("k", place).join(keys.select(place).distinct(), "p", "left_semi").collect()}
+    found = made.possible(rows, "k")
+    assert {r.k for r in found.collect()} == expected and len(expected) < 30000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_filter_words" in plan and "conv(" not in plan.partition("Join")[0]
+
+
+def test_slim_gives_back_freed_heap(spark):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    big = spark.sparkContext._gateway.new_array(spark._jvm.long, 200 << 20)
+    grown = runtime.totalMemory()
+    del big
+    gc.collect()
+    common.slim(spark)
+    assert runtime.totalMemory() < grown - (400 << 20)
+
+
+def test_jaccard_join_begins_with_slim_executors(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(jaccard, "slim", seen.append)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.jaccard_components(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert len(seen) == 2
+
+
 def test_jaccard_join_of_repeated_ids(spark):
     r = np.random.default_rng(5)
     bases = [[f"{c}{k}" for k in r.permutation(60)] for c in "abcdef"]
