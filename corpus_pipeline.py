@@ -6,14 +6,15 @@ Rows with a null text or doc_id pass through as their operators say: a null or
 empty text is clean, alone and unmasked, and is packed as one end id; a row
 without doc_id is in no group of copies and ranks last among passages.  Repeated
 rows of one doc_id are one group of copies, so one of them stays.  Empty tables
-stay empty; extra columns are kept up to packing, whatever their names.
+stay empty; extra columns are kept up to packing, whatever their names.  Each stage
+begins with heaps that gave back what the stage before it had freed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditlake.llm.common import scratch
+from auditlake.llm.common import scratch, slim
 from auditlake.llm.jaccard import one_of_each
 from auditlake.llm.packing import pack
 from auditlake.llm.pii import mask_documents
@@ -27,6 +28,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; without any label all of them."""
+    slim(spark)
     return clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -37,16 +39,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings that a document of smaller doc_id has."""
+    slim(spark)
     return without_passages(docs, length=50)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind; null texts stay null."""
+    slim(spark)
     return mask_documents(docs)
 
 
 def pack_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of power-of-two lengths, without their ids: every id of every document is in one of them."""
+    slim(spark)
     return pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=False)
 
 

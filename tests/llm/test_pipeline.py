@@ -10,7 +10,7 @@ from test_operators import brute_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from auditlake.llm import pii, toxicity
+from auditlake.llm import jaccard, pii, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +99,13 @@ def test_stages_on_odd_tables(spark, corpus):
         assert stage(spark, table.where("false"), corpus).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, table, corpus).select("doc_id").distinct().count() == 9
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near copies", "passages", "personal data", "packing"]
+
+
+def test_stages_begin_with_slim_executors(spark, corpus, monkeypatch):
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "slim", lambda _: seen.append("stage"))
+    monkeypatch.setattr(jaccard, "slim", lambda _: seen.append("join"))
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, corpus)
+    assert seen == ["stage", "join", "join", "stage", "stage", "stage"]
